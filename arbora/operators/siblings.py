@@ -30,6 +30,9 @@ def typed(pdf: pd.DataFrame, schema: str) -> pd.DataFrame:
     """All columns of `schema`, with whole numbers that may be missing kept exact."""
     kinds = dict(c.split() for c in schema.split(", "))
     pdf = pdf.reindex(columns=list(kinds))
+    for c, t in kinds.items():
+        if t.startswith("array"):
+            pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
     return pdf.astype({c: {"long": "Int64", "int": "Int32", "boolean": "boolean"}[t]
                        for c, t in kinds.items() if t in ("long", "int", "boolean")})
 
