@@ -53,14 +53,10 @@ def at_most(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
     return df.select(F.lit(1).alias("_")).limit(limit + 1).count() <= limit
 
 
-def same(left: DataFrame, right: DataFrame, columns) -> Column:
-    """Null-safe equality of the named columns of two frames."""
-    terms = [left[c].eqNullSafe(right[c]) for c in columns]
-    return functools.reduce(operator.and_, terms, F.lit(True))
-
-
 def join_on(left: DataFrame, right: DataFrame, columns, how: str = "inner") -> DataFrame:
     """Null-safe join that keeps the left copy of the key columns."""
+    if not columns:
+        return left.crossJoin(right)
     keys = [(c, f"_key_{i}") for i, c in enumerate(columns)]
     for c, k in keys:
         right = right.withColumnRenamed(c, k)
