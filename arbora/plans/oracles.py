@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.plans.queries import GAP, K, NEAR, PATH, SHAPES, SPAN  # noqa: F401
+from arbora.plans.queries import K, PATH, SHAPES, SPAN
 from arbora.plans.shape import shaped_sql
 
 # ---- views ------------------------------------------------------------------------------------------
@@ -135,6 +135,11 @@ COMPONENTS = """reach AS (SELECT node_id AS node, node_id AS seen FROM nodes
  FROM reach r JOIN adjacent a ON a.left_id = r.seen OR a.right_id = r.seen),
  parts AS (SELECT node, min(seen) AS part FROM reach GROUP BY node)"""
 
+GRAPH_SUMMARY = """part_sizes AS (SELECT n.lineage, part, count(*) AS size FROM parts p JOIN nodes n ON n.node_id = p.node GROUP BY ALL),
+ result AS (SELECT lineage, sum(size) AS n_metacells, count(*) AS n_components, count_if(size = 1) AS n_isolated,
+ max(size) AS largest_component, (SELECT count(*) FROM adjacent a WHERE a.lineage = s.lineage) AS n_undirected_fuzzy_edges
+ FROM part_sizes s GROUP BY lineage)"""
+
 EDGES = """starts AS (SELECT lineage, min(stage) AS first_stage FROM nodes GROUP BY lineage),
  roots AS (SELECT n.*, n_cells / sum(n_cells) OVER (PARTITION BY lineage) AS root_share
  FROM nodes n JOIN starts s USING (lineage) WHERE stage <= first_stage + 0.5),
@@ -281,6 +286,50 @@ CHAINS = """rins AS (SELECT child_id AS node_id, count(*) AS c FROM gaps GROUP B
  FROM chain c JOIN gaps g ON g.parent_id = c.node_id WHERE NOT c.is_anchor)"""
 
 
+PATHS = f"""runs AS (SELECT c.chain_id, c.place, c.node_id, c.node_id AS head, list_transform(n.v, lambda x: x * n.n_cells) AS total,
+ n.stage AS low, n.stage AS high FROM chain c JOIN nodes n USING (node_id) WHERE c.place = 0
+ UNION ALL SELECT chain_id, place, node_id, CASE WHEN fits THEN head ELSE node_id END,
+ CASE WHEN fits THEN list_transform(list_zip(total, own), lambda z: z[1] + z[2]) ELSE own END,
+ CASE WHEN fits THEN least(low, stage) ELSE stage END, CASE WHEN fits THEN greatest(high, stage) ELSE stage END
+ FROM (SELECT c.chain_id, c.place, c.node_id, r.head, r.total, r.low, r.high, n.stage,
+ list_transform(n.v, lambda x: x * n.n_cells) AS own, greatest(0.0, 1 - list_cosine_similarity(r.total, n.v)) <= {PATH}
+ AND greatest(r.high, n.stage) - least(r.low, n.stage) <= {SPAN} AS fits
+ FROM runs r JOIN chain c ON c.chain_id = r.chain_id AND c.place = r.place + 1 JOIN nodes n ON n.node_id = c.node_id)),
+ path_heads AS MATERIALIZED (SELECT n.*, coalesce(r.head, n.node_id) AS head_id FROM nodes n LEFT JOIN runs r USING (node_id)),
+ path_ids AS (SELECT head_id, row_number() OVER (ORDER BY min(lineage), min(stage), min(node_id)) - 1 AS gid
+ FROM path_heads GROUP BY head_id),
+ grouped_nodes AS MATERIALIZED (SELECT p.*, i.gid FROM path_heads p JOIN path_ids i USING (head_id))"""
+
+CONTRACTED = """cnodes AS MATERIALIZED (SELECT gid AS node_id, min(lineage) AS lineage, count(*) AS n_source_nodes, sum(n_metacells) AS n_metacells,
+ sum(n_cells) AS n_cells, sum(stage * n_metacells) / sum(n_metacells) AS mean_stage,
+ sum(stage * n_cells) / sum(n_cells) AS cell_weighted_mean_stage, min(stage) AS min_stage, max(stage) AS max_stage
+ FROM grouped_nodes GROUP BY gid)"""
+
+REBUILT = """cvirtual AS (SELECT node_id AS old_id, tree_stage,
+ (SELECT count(*) FROM cnodes) + row_number() OVER (ORDER BY node_type, lineage, node_id) - 1 AS new_id FROM virtual),
+ ids AS (SELECT node_id AS old_id, gid AS new_id FROM grouped_nodes UNION ALL SELECT old_id, new_id FROM cvirtual),
+ cstage AS (SELECT node_id, cell_weighted_mean_stage AS s FROM cnodes UNION ALL SELECT new_id, tree_stage FROM cvirtual),
+ moved AS (SELECT p.new_id AS parent_id, c.new_id AS child_id, e.lineage,
+ CASE WHEN virtual_edge THEN edge_kind ELSE 'contracted_tree' END AS edge_kind, virtual_edge,
+ row_number() OVER (PARTITION BY p.new_id, c.new_id ORDER BY e.parent_stage, e.parent_id, e.child_id) AS rn
+ FROM tedges e JOIN ids p ON p.old_id = e.parent_id JOIN ids c ON c.old_id = e.child_id WHERE p.new_id <> c.new_id),
+ redges AS (SELECT m.*, a.s AS parent_stage, b.s AS child_stage, b.s - a.s AS stage_delta FROM moved m
+ JOIN cstage a ON a.node_id = m.parent_id JOIN cstage b ON b.node_id = m.child_id WHERE rn = 1)"""
+
+FUZZY = """lists AS MATERIALIZED (SELECT id, lineage, list(other ORDER BY rank) AS others, list(greatest(0.0, 1 - similarity) ORDER BY rank) AS d
+ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM sims) WHERE rank <= 14 GROUP BY ALL),
+ based AS MATERIALIZED (SELECT *, coalesce(list_min(list_filter(d, lambda x: x > 0)), 0.0) AS base FROM lists),
+ bisect AS (SELECT id, 0 AS turn, 0.0::DOUBLE AS low, NULL::DOUBLE AS high, 1.0::DOUBLE AS width FROM based
+ UNION ALL SELECT id, turn + 1, CASE WHEN above THEN low ELSE width END, CASE WHEN above THEN width ELSE high END,
+ CASE WHEN above THEN (low + width) / 2 WHEN high IS NULL THEN width * 2 ELSE (width + high) / 2 END
+ FROM (SELECT s.*, list_sum(list_transform(b.d, lambda x: CASE WHEN x > b.base THEN exp(-(x - b.base) / s.width) ELSE 1.0 END)) > log2(15) AS above
+ FROM bisect s JOIN based b USING (id) WHERE s.turn < 64)),
+ wide AS (SELECT b.*, greatest(s.width, 1e-3 * list_sum(b.d) / (len(b.d) + 1)) AS width FROM based b JOIN bisect s USING (id) WHERE s.turn = 64),
+ strengths AS (SELECT id, lineage, unnest(others) AS other, unnest(list_transform(d, lambda x: CASE WHEN x > base THEN exp(-(x - base) / width) ELSE 1.0 END)) AS w FROM wide),
+ fuzzy AS MATERIALIZED (SELECT lineage, least(id, other) AS left_id, greatest(id, other) AS right_id,
+ sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END AS weight FROM strengths GROUP BY ALL)"""
+
+
 def histogram(source: str, value: str, bins: int, low: str, high: str, weight: str = "1", log: bool = False) -> str:
     axis = (lambda x: f"ln({x})") if log else (lambda x: x)
     back = (lambda x: f"exp({x})") if log else (lambda x: x)
@@ -296,11 +345,7 @@ def histogram(source: str, value: str, bins: int, low: str, high: str, weight: s
 DECADES = """decades AS (SELECT *, floor(stage / 5) AS decade FROM nodes),
  groups AS MATERIALIZED (SELECT lineage, celltype, decade, row_number() OVER (ORDER BY lineage, celltype, decade) - 1 AS gid
  FROM (SELECT DISTINCT lineage, celltype, decade FROM decades)),
- grouped_nodes AS MATERIALIZED (SELECT d.*, g.gid FROM decades d JOIN groups g USING (lineage, celltype, decade)),
- cnodes AS MATERIALIZED (SELECT gid AS node_id, min(lineage) AS lineage, count(*) AS n_source_nodes, sum(n_metacells) AS n_metacells,
- sum(n_cells) AS n_cells, sum(stage * n_metacells) / sum(n_metacells) AS mean_stage,
- sum(stage * n_cells) / sum(n_cells) AS cell_weighted_mean_stage, min(stage) AS min_stage, max(stage) AS max_stage
- FROM grouped_nodes GROUP BY gid)"""
+ grouped_nodes AS MATERIALIZED (SELECT d.*, g.gid FROM decades d JOIN groups g USING (lineage, celltype, decade))"""
 
 ENTRIES = """entries AS MATERIALIZED (SELECT n.node_id AS id, lineage, stage, n_cells, celltype, i - 1 AS dimension, v[i] AS value
  FROM nodes n, range(1, 65) r(i))"""
@@ -420,10 +465,7 @@ def _build() -> dict[str, str]:
     add("mutual_bounded_adjacency", [*near, PAIRS, SCALES, adjacency(1.2, True)], "adjacent")
     linked = [*near, PAIRS, SCALES, adjacency(1.0), COMPONENTS]
     add("adjacency_components", linked, "parts")
-    add("adjacency_summary", [*linked, """part_sizes AS (SELECT n.lineage, part, count(*) AS size FROM parts p JOIN nodes n ON n.node_id = p.node GROUP BY ALL),
- result AS (SELECT lineage, sum(size) AS n_metacells, count(*) AS n_components, count_if(size = 1) AS n_isolated,
- max(size) AS largest_component, (SELECT count(*) FROM adjacent a WHERE a.lineage = s.lineage) AS n_undirected_fuzzy_edges
- FROM part_sizes s GROUP BY lineage)"""], "result")
+    add("adjacency_summary", [*linked, GRAPH_SUMMARY], "result")
     add("dimension_subset", [NODES, """picked AS (SELECT node_id AS vec_id, [v[4], v[2], v[9], v[22]] AS u FROM nodes),
  result AS (SELECT vec_id, i - 1 AS dimension, u[i] / sqrt(list_dot_product(u, u)) AS value FROM picked, range(1, 5) r(i))"""], "result")
     add("dimension_weight_sweep", [NODES, ENTRIES, """scaled AS (SELECT l AS weight_label, id AS vec_id, dimension,
@@ -495,26 +537,29 @@ def _build() -> dict[str, str]:
     add("stage_gap_histogram", [*gaps, histogram("gaps", "stage_gap", 36, "0.0::DOUBLE", "25.0::DOUBLE")], "hist")
     add("node_size_histogram", [NODES, "sized AS (SELECT n_cells + 0.5::DOUBLE AS size FROM nodes)",
                                 histogram("sized", "size", 32, "1.0::DOUBLE", "100.0::DOUBLE", log=True)], "hist")
-    add("line_price_histogram", [LINES, histogram("lines", "stage", 24, "min(stage)", "max(stage)", "price")], "hist")
+    add("line_price_histogram", [LINES, histogram("lines", "stage", 24, "min(stage)", "max(stage)", "round(price * 100)::BIGINT")], "hist")
 
     chained = [*gaps, CHAINS]
     add("degree_two_chains", chained, "chain")
     add("anchor_nodes", [*chained, "result AS (SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM inner_nodes))"], "result")
     add("path_group_statistics", [NODES, """result AS (SELECT min(node_id) AS head_id, lineage, sum(n_cells) AS n_cells,
  sum(stage * n_cells) / sum(n_cells) AS stage, min(node_id) AS min_source, count(*) AS n_sources FROM nodes GROUP BY lineage, celltype)"""], "result")
-    add("label_contracted_nodes", [NODES, DECADES, """kinds AS (SELECT gid, 'g' || (n_cells % 3) AS celltype, n_cells FROM grouped_nodes)""",
+    add("label_contracted_nodes", [NODES, DECADES, CONTRACTED, """kinds AS (SELECT gid, 'g' || (n_cells % 3) AS celltype, n_cells FROM grouped_nodes)""",
                                    composition("comp", "kinds", "gid", amount="sum(n_cells)"),
                                    """result AS (SELECT c.*, p.celltype AS dominant_celltype, p.cell_count AS dominant_celltype_cells,
  p.fraction AS celltype_purity FROM cnodes c JOIN comp p ON p.gid = c.node_id AND p.rank = 1)"""], "result")
-    add("label_contracted_edges", [*FULL_TREE, DECADES, """cvirtual AS (SELECT node_id AS old_id, tree_stage,
- (SELECT count(*) FROM cnodes) + row_number() OVER (ORDER BY node_type, lineage, node_id) - 1 AS new_id FROM virtual),
- ids AS (SELECT node_id AS old_id, gid AS new_id FROM grouped_nodes UNION ALL SELECT old_id, new_id FROM cvirtual),
- cstage AS (SELECT node_id, cell_weighted_mean_stage AS s FROM cnodes UNION ALL SELECT new_id, tree_stage FROM cvirtual),
- moved AS (SELECT p.new_id AS parent_id, c.new_id AS child_id, e.lineage,
- CASE WHEN virtual_edge THEN edge_kind ELSE 'contracted_tree' END AS edge_kind, virtual_edge,
- row_number() OVER (PARTITION BY p.new_id, c.new_id ORDER BY e.parent_stage, e.parent_id, e.child_id) AS rn
- FROM tedges e JOIN ids p ON p.old_id = e.parent_id JOIN ids c ON c.old_id = e.child_id WHERE p.new_id <> c.new_id),
- result AS (SELECT m.*, b.s - a.s AS stage_delta FROM moved m JOIN cstage a ON a.node_id = m.parent_id JOIN cstage b ON b.node_id = m.child_id WHERE rn = 1)"""], "result")
+    add("label_contracted_edges", [*FULL_TREE, DECADES, CONTRACTED, REBUILT], "redges")
+    paths = [*chained, PATHS]
+    add("path_groups", paths, "path_heads")
+    add("path_source_mapping", [*paths, """result AS (SELECT node_id AS source_node_id, gid AS contracted_node_id,
+ row_number() OVER (PARTITION BY gid ORDER BY stage, node_id) - 1 AS position_within_contracted_node,
+ node_id NOT IN (SELECT node_id FROM inner_nodes) AS source_was_anchor FROM grouped_nodes)"""], "result")
+    add("path_contracted_nodes", [*paths, CONTRACTED], "cnodes")
+    add("path_contracted_vectors", [*paths, """result AS (SELECT gid AS node_id, i - 1 AS dimension, sum(v[i] * n_cells) / sum(n_cells) AS value
+ FROM grouped_nodes, range(1, 65) r(i) GROUP BY ALL)"""], "result")
+    add("path_contracted_edges", [*paths, CONTRACTED, REBUILT], "redges")
+    add("fuzzy_graph", [NODES, SIMS, FUZZY], "fuzzy")
+    add("lineage_graph_summary", [NODES, SIMS, FUZZY, COMPONENTS.replace("adjacent", "fuzzy"), GRAPH_SUMMARY.replace("adjacent", "fuzzy")], "result")
 
     add("label_modularity", [*near, PAIRS, """named AS (SELECT node_id, lineage, floor(stage / 4) AS c FROM nodes),
  halves AS (SELECT lineage, left_id AS a, right_id AS b, cosine_similarity AS w FROM pairs UNION ALL SELECT lineage, right_id, left_id, cosine_similarity FROM pairs),

@@ -605,9 +605,10 @@ def node_size_histogram(spark, folder):
     return diagnostics.histogram(real.withColumn("size", F.col("n_cells") + 0.5), "size", 32, 1.0, 100.0, scale="log")
 
 
-@query("bin:i bin_left:d bin_right:d total:d")
+@query("bin:i bin_left:d bin_right:d total:i")
 def line_price_histogram(spark, folder):
-    return diagnostics.histogram(views.cells_from_lineitem(spark, folder), "stage", 24, weight="price")
+    lines = views.cells_from_lineitem(spark, folder).withColumn("cents", F.round(F.col("price") * 100).cast("long"))
+    return diagnostics.histogram(lines, "stage", 24, weight="cents")
 
 
 # ---- contraction -----------------------------------------------------------------------------------
@@ -675,6 +676,39 @@ def path_groups(spark, folder):
     return first_groups(spark, folder)
 
 
+@stage_table
+def path_mapping_table(spark, folder):
+    return contract.source_mapping(views.nodes_from_embeddings(spark, folder), first_groups(spark, folder),
+                                   real_edge_table(spark, folder))
+
+
+@stage_table
+def path_contracted_table(spark, folder):
+    return contract.contracted_nodes(views.nodes_from_embeddings(spark, folder), path_mapping_table(spark, folder))
+
+
+@query("source_node_id:i contracted_node_id:i position_within_contracted_node:i source_was_anchor:b")
+def path_source_mapping(spark, folder):
+    return path_mapping_table(spark, folder)
+
+
+@query("node_id:i lineage:s n_source_nodes:i n_metacells:i n_cells:i mean_stage:d cell_weighted_mean_stage:d "
+       "min_stage:d max_stage:d")
+def path_contracted_nodes(spark, folder):
+    return path_contracted_table(spark, folder)
+
+
+@query("node_id:i dimension:i value:d")
+def path_contracted_vectors(spark, folder):
+    return exploded(path_contracted_table(spark, folder), "node_id")
+
+
+@query("parent_id:i child_id:i lineage:s edge_kind:s virtual_edge:b parent_stage:d child_stage:d stage_delta:d")
+def path_contracted_edges(spark, folder):
+    return contract.rebuilt_tree(path_contracted_table(spark, folder), tree_node_table(spark, folder),
+                                 tree_edge_table(spark, folder), path_mapping_table(spark, folder))[1]
+
+
 @query("head_id:i lineage:s n_cells:i stage:d min_source:i n_sources:i")
 def path_group_statistics(spark, folder):
     nodes = views.nodes_from_embeddings(spark, folder)
