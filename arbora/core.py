@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,13 @@ def require_contiguous(df: DataFrame, column: str, table: str) -> None:
         raise ContractError(f"{table}.{column} must run from 0 to {row['n'] - 1} without gaps")
 
 
+def empty_frame(schema: str) -> pd.DataFrame:
+    """A pandas frame without rows for a schema text such as "id long, name string"."""
+    kinds = {"long": "int64", "int": "int32", "double": "float64", "boolean": "bool"}
+    return pd.DataFrame({n: pd.Series([], dtype=kinds.get(t, object))
+                         for n, t in (c.split() for c in schema.split(", "))})
+
+
 _shipped: set[str] = set()
 
 

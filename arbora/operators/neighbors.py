@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arbora.core import empty_frame
+
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 1024
 
@@ -92,7 +94,7 @@ def nearest(vectors: DataFrame, k: int, group: str = "lineage", earlier: bool =
                         found.append(pd.DataFrame(item))
         out = pd.concat(found, ignore_index=True) if found else pd.DataFrame()
         if not len(out):
-            return pd.DataFrame({c: [] for c in columns})
+            return empty_frame(schema)
         out[group] = pdf[group].iat[0]
         return out[columns]
 

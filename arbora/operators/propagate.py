@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import at_most, materialize, shuffle_partitions
+from arbora.core import at_most, empty_frame, materialize, shuffle_partitions
 
 HOPS_PER_JOB = 5
 SMALL_EDGES = 100_000
@@ -51,7 +51,7 @@ def _spread_pieces(seeds, edges, tags, sums, mins) -> DataFrame:
 
     def walk(start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if not len(start):
-            return pd.DataFrame({n: [] for n in names})
+            return empty_frame(schema)
         piece = start["piece"].iat[0]
         links = links.sort_values("source")
         sources, targets = links["source"].to_numpy(), links["target"].to_numpy()

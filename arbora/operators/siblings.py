@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import at_most, materialize
+from arbora.core import at_most, empty_frame, materialize
 from arbora.operators.contract import group_edges, group_nodes, number_groups
 from arbora.operators.ordering import number_rows
 from arbora.operators.propagate import follow_parents
@@ -317,12 +317,12 @@ def _best_by_blocks(lists: DataFrame, limits: Limits, block_rows: int) -> DataFr
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf[pdf["_own"] == pdf["_low"].iat[0]], pdf[pdf["_own"] == pdf["_high"].iat[0]]
         if not len(low) or not len(high):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return empty_frame(schema)
         a, b = as_arrays(low), as_arrays(high)
         costs = pair_costs(a, b, float(pdf["parent_stage"].iat[0]), limits)
         pair = best_pair(costs, a, b)
         if pair is None:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return empty_frame(schema)
         i, j = pair
         ends = sorted([(a["place"][i], a["min_id"][i]), (b["place"][j], b["min_id"][j])])
         return pd.DataFrame({"parent": [pdf["parent"].iat[0]], "distance": [costs[i, j]],
