@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A table of at most this many rows may be ordered or buffered by one task.
@@ -41,19 +41,36 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and return a scan of it.
 
     The plan is cut, the rows survive the loss of executors, and everything downstream sees one
-    fixed set of values even if `df` holds partition-dependent columns.
+    fixed set of values even if `df` holds partition-dependent columns. A table that was just written
+    is returned as it is.
     """
+    if getattr(df, "_written_rows", None) is not None:
+        return df
     spark = df.sparkSession
+    counted = Observation()
     path = f"{shared_folder(spark)}/arbora-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_rows = counted.get["n"]
+    return table
 
 
 def at_most(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
-    """True when `df` has no more than `limit` rows; stops reading soon after the limit."""
+    """True when `df` has no more than `limit` rows.
+
+    A written table knows its size; anything else is read until shortly after the limit.
+    """
+    known = getattr(df, "_written_rows", None)
+    if known is not None:
+        return known <= limit
     return df.select(F.lit(1).alias("_")).limit(limit + 1).count() <= limit
 
 
+def is_empty(df: DataFrame) -> bool:
+    known = getattr(df, "_written_rows", None)
+    return df.isEmpty() if known is None else known == 0
+
+
 def join_on(left: DataFrame, right: DataFrame, columns, how: str = "inner") -> DataFrame:
     """Null-safe join that keeps the left copy of the key columns."""
     if not columns:

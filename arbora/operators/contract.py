@@ -59,7 +59,7 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
     rows = materialize(placed.select("node_id", "chain_id", "place").join(
         nodes.select("node_id", "stage", "n_cells", "embedding"), "node_id"))
     lengths = rows.groupBy("chain_id").agg(F.count("*").alias("length"))
-    starts = materialize(lengths.withColumn("start", F.lit(0).cast("long")))
+    starts = lengths.withColumn("start", F.lit(0).cast("long"))
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -91,11 +91,12 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
         found = materialize(window.groupBy("chain_id").applyInPandas(
             runs, "node_id long, head_id long, chain_id long, place long, closed boolean"))
         parts.append(found.where("closed").select("node_id", "head_id"))
-        rest = found.where("not closed").groupBy("chain_id").agg(F.min("place").alias("start"))
-        starts = materialize(rest.join(lengths, "chain_id"))
-        if starts.isEmpty():
+        unfinished = found.where("not closed")
+        if unfinished.isEmpty():
             break
-        if not found.where("closed").limit(1).count():
+        rest = unfinished.groupBy("chain_id").agg(F.min("place").alias("start"))
+        starts = materialize(rest.join(lengths, "chain_id"))
+        if found.where("closed").isEmpty():
             chain_rows *= 4  # one run fills the whole window: look farther ahead
     result = parts[0]
     for p in parts[1:]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import at_most, empty_frame, materialize
+from arbora.core import at_most, empty_frame, is_empty, materialize
 from arbora.operators.contract import group_edges, group_nodes, number_groups
 from arbora.operators.ordering import number_rows
 from arbora.operators.propagate import follow_parents
@@ -232,7 +232,7 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
     row_schema = ("parent long, unit long, level long, place long, head long, n double, stage double, "
                   "min_id long, vector array<double>")
     schema = f"{HISTORY}, {row_schema}, survivor long, inner long"
-    while not open_.isEmpty():
+    while not is_empty(open_):
         deepest = open_.groupBy("unit").agg(F.max("below").alias("below"))
         active = materialize(open_.join(deepest, ["unit", "below"], "left_semi"))
         lists = materialize(with_children(state).join(

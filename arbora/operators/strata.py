@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import ContractError, join_on, require_zero
+from arbora.core import ContractError, join_on, materialize, require_zero
 from arbora.functions.scalars import interval_label, ratio, stage_bin
 from arbora.functions.vectors import cosine_distance, dimension, group_means
 from arbora.operators.ordering import quantiles
@@ -57,8 +57,8 @@ def compactness(cells: DataFrame, group: str = "microcell_id") -> DataFrame:
     """Mean and 95th percentile of the members' cosine distance to their mean vector."""
     width = dimension(cells, "embedding")
     centers = group_means(cells, [group], "embedding", width).withColumnRenamed("embedding", "_center")
-    spread = join_on(cells.select(group, "embedding"), centers, [group]).select(
-        group, cosine_distance("embedding", "_center").alias("_distance"))
+    spread = materialize(join_on(cells.select(group, "embedding"), centers, [group]).select(
+        group, cosine_distance("embedding", "_center").alias("_distance")))
     tails = quantiles(spread, [group], "_distance", {"p95_cosine_distance": 0.95})
     means = spread.groupBy(group).agg(F.avg("_distance").alias("mean_cosine_distance"))
     return join_on(means, tails, [group])
