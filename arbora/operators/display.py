@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.core import materialize
 from arbora.operators.ordering import number_rows
 
 # Colour of groups shown as mixed, and the saturation and brightness steps that
@@ -34,7 +35,7 @@ def golden_color(index: Column) -> Column:
 
 def label_weights(groups: DataFrame, label: str, weight: str = "n_cells") -> DataFrame:
     """Labels by total weight, heaviest first: label, total, position."""
-    totals = groups.groupBy(label).agg(F.sum(weight).alias("total"))
+    totals = materialize(groups.groupBy(label).agg(F.sum(weight).alias("total")))
     return number_rows(totals, [], [F.desc("total"), label], "position")
 
 
@@ -65,7 +66,7 @@ def label_colors(groups: DataFrame, label: str, weight: str = "n_cells",
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Integer code of each label in sorted order; missing labels are Unknown."""
     named = df.withColumn(column, F.coalesce(column, F.lit("Unknown")))
-    codes = number_rows(named.select(column).distinct(), [], [column], f"{column}_code")
+    codes = number_rows(materialize(named.select(column).distinct()), [], [column], f"{column}_code")
     return named.join(codes, column)
 
 

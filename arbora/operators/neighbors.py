@@ -15,8 +15,11 @@ from pyspark.sql.window import Window
 
 from arbora.core import empty_frame
 
+# Smallest block; a lineage of more than 64 blocks uses larger ones, up to eight times this.
 BLOCK_ROWS = 8192
-CHUNK_ROWS = 1024
+MANY_BLOCKS = 64
+# Similarities held at once by a task.
+CHUNK_CELLS = 8_000_000
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -39,8 +42,9 @@ def best_columns(scores: np.ndarray, k: int):
 
 def similarity_chunks(left: np.ndarray, right: np.ndarray, left_ids, right_ids):
     """Clipped similarities of row chunks, a vector's match with itself masked out."""
-    for start in range(0, len(left), CHUNK_ROWS):
-        part = slice(start, start + CHUNK_ROWS)
+    step = max(16, CHUNK_CELLS // max(1, len(right)))
+    for start in range(0, len(left), step):
+        part = slice(start, start + step)
         scores = np.round(np.clip(left[part] @ right.T, -1.0, 1.0), 12)
         scores[left_ids[part][:, None] == right_ids[None, :]] = -np.inf
         yield part, scores
@@ -48,7 +52,9 @@ def similarity_chunks(left: np.ndarray, right: np.ndarray, left_ids, right_ids):
 
 def block_pairs(vectors: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One copy of each row per block pair it belongs to: columns `_own`, `_low`, `_high`."""
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("_blocks"))
+    n = F.count("*")
+    rows = F.greatest(F.lit(block_rows), F.least(F.lit(8 * block_rows), F.ceil(n / F.lit(MANY_BLOCKS))))
+    sizes = vectors.groupBy(group).agg(F.ceil(n / rows).alias("_blocks"))
     return (vectors.join(sizes, group)
             .withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

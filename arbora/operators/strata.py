@@ -77,6 +77,7 @@ def weighted_coordinates(points: DataFrame, group: str, axes, weight: str = "n_c
 
 def grouping_summary(groups: DataFrame, min_size: int = 200) -> DataFrame:
     """One row about the sizes of all groups (n_cells)."""
+    groups = materialize(groups.select("n_cells"))
     n, small = F.col("n_cells"), F.col("n_cells") < min_size
     one = groups.agg(
         F.count("*").alias("n_microcells"), F.sum(n).alias("total_cells"),

@@ -22,7 +22,7 @@ def virtual_nodes(nodes: DataFrame, window: float = 0.5) -> DataFrame:
     whole = nodes.agg(F.count("*").alias("_n"), F.min("stage").alias("_low"),
                       F.max("stage").alias("_high"), F.countDistinct("lineage").alias("_lineages"))
     step = F.greatest(F.lit(0.1), (F.col("_high") - F.col("_low")) * F.lit(0.01))
-    starts = nodes.groupBy("lineage").agg(F.min("stage").alias("_start"))
+    starts = materialize(nodes.groupBy("lineage").agg(F.min("stage").alias("_start")))
     roots = (number_rows(starts, [], ["lineage"], "_place").crossJoin(whole).select(
         (F.col("_n") + F.col("_place")).alias("node_id"), "lineage",
         F.lit("lineage_root").alias("node_type"), (F.col("_start") - step).alias("tree_stage")))

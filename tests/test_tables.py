@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbora.core import ContractError
 from arbora.functions import scalars
 from arbora.functions.vectors import dimension, require_vectors, subset_dimensions, weighted_dimensions
-from arbora.operators import composition, decoder, diffusion, display, export, sampling
+from arbora.operators import composition, decoder, diffusion, display, export, layout, sampling
 from arbora.sinks import writers
 from arbora.sources import readers
 from arbora.sources.npy import NpyDataSource
@@ -201,6 +201,20 @@ def test_diffusion_map_both_ways(spark):
         assert abs(abs(one[:, c] @ two[:, c]) - 1) < 1e-4
 
 
+def test_display_layout(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([c + .1 * rng.standard_normal((15, 6)) for c in 3 * np.eye(6)[:3]])
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(45), "embedding": x.tolist()}))
+    a, b = (layout.display_layout(points, 2, 8, epochs=2, small_points=s).toPandas().sort_values(["id", "component"]).value.to_numpy()
+            for s in (0, 1000))
+    assert np.allclose(a, b, atol=1e-6)
+    y = layout.display_layout(points, 2, 8, epochs=100).toPandas().pivot(index="id", columns="component", values="value").to_numpy()
+    group = np.repeat(np.arange(3), 15)
+    d = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert (group[d.argmin(1)] == group).mean() > .9
+
+
 def test_decoder(spark):
     rng = np.random.default_rng(7)
     w1, b1, w2 = rng.standard_normal((5, 3)), rng.standard_normal(5), rng.standard_normal((4, 5))
