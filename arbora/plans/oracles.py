@@ -575,6 +575,13 @@ def _build() -> dict[str, str]:
  FROM correlations QUALIFY place < 5)"""], "result")
     add("gaussian_graph", [NODES, GAUSS], "gauss")
     add("transition_matrix", [NODES, GAUSS, TRANSITION], "trans")
+    add("decay_graph", [NODES, """all_near AS MATERIALIZED (SELECT a.node_id AS id, b.node_id AS other, greatest(0.0, 1 - round(greatest(-1.0, least(1.0,
+ list_cosine_similarity(a.v, b.v))), 12)) AS d FROM nodes a JOIN nodes b ON a.node_id <> b.node_id),
+ width AS (SELECT id, greatest(d, 1e-12) AS width FROM all_near QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) = 5),
+ kernel AS (SELECT id AS a, other AS b, exp(-power(d / width, 40)) AS w FROM all_near JOIN width USING (id)),
+ strong AS (SELECT * FROM kernel WHERE w > 1e-4),
+ halves AS (SELECT a, b, w FROM strong UNION ALL SELECT b, a, w FROM strong),
+ result AS (SELECT a, b, sum(w) / 2 AS w FROM halves GROUP BY a, b UNION ALL SELECT node_id, node_id, 1.0 FROM nodes)"""], "result")
     add("decoded_nodes", [NODES, ENTRIES, """first_w AS (SELECT celltype, dimension, avg(value) AS w FROM entries GROUP BY ALL),
  hidden AS (SELECT id, f.celltype, greatest(0.0, sum(e.value * f.w)) AS h FROM entries e JOIN first_w f USING (dimension) GROUP BY ALL),
  second_w AS (SELECT dense_rank() OVER (ORDER BY floor(stage / 5)) - 1 AS position, celltype, avg(stage) / 10 AS w FROM nodes GROUP BY floor(stage / 5), celltype),

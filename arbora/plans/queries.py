@@ -11,7 +11,7 @@ from arbora.core import materialize, ship
 from arbora.functions import scalars
 from arbora.functions.vectors import dimension, group_means, subset_dimensions, weighted_dimensions
 from arbora.operators import (composition, contract, correlation, decoder, diagnostics, diffusion, display,
-                              export, grouping, layout, markov, neighbors, sampling, siblings, states, strata,
+                              export, grouping, layout, markov, neighbors, potential, sampling, siblings, states, strata,
                               temporal, tree)
 from arbora.operators.ordering import number_rows
 from arbora.plans.shape import shaped
@@ -904,6 +904,16 @@ def display_layout_3d(spark, folder):
     return layout.display_layout(_staged_vectors(spark, folder), 3, 15)
 
 
+@query("a:i b:i w:d")
+def decay_graph(spark, folder):
+    return potential.decay_graph(_staged_vectors(spark, folder), 5, 40.0)
+
+
+@query("id:i component:i value:d")
+def potential_layout(spark, folder):
+    return potential.potential_layout(_staged_vectors(spark, folder), 2, 5, 40.0, landmarks=400)
+
+
 @query("node_id:i position:i value:d")
 def decoded_nodes(spark, folder):
     """Two layers whose weights are the mean vectors of the labels and of the stage decades."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbora.core import ContractError
 from arbora.functions import scalars
 from arbora.functions.vectors import dimension, require_vectors, subset_dimensions, weighted_dimensions
-from arbora.operators import composition, decoder, diffusion, display, export, layout, sampling
+from arbora.operators import composition, decoder, diffusion, display, export, layout, potential, sampling
 from arbora.sinks import writers
 from arbora.sources import readers
 from arbora.sources.npy import NpyDataSource
@@ -215,6 +215,30 @@ def test_display_layout(spark):
     assert (group[d.argmin(1)] == group).mean() > .9
 
 
+@pytest.mark.parametrize("landmarks", [1000, 30])
+def test_potential_layout_keeps_neighbours(spark, landmarks):
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.uniform(0, 2.5, 90))
+    x = np.c_[np.cos(t), np.sin(t), np.ones(90)] + .01 * rng.standard_normal((90, 3))
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "embedding": x.tolist()}))
+    y = potential.potential_layout(points, 2, 5, t=25, landmarks=landmarks).toPandas().pivot(
+        index="id", columns="component", values="value").to_numpy()
+    assert y.shape == (90, 2) and np.isfinite(y).all()
+    # Neighbours on the map are neighbours along the curve.
+    gap = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(gap, np.inf)
+    assert np.abs(t[gap.argmin(1)] - t).mean() < .1
+    if landmarks == 1000:
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = np.maximum(0, 1 - np.round(u @ u.T, 12))
+        np.fill_diagonal(d, np.inf)
+        w = np.exp(-(d / np.sort(d, axis=1)[:, 4:5]) ** 40)
+        w[w <= potential.LEAST_WEIGHT] = 0
+        w = (w + w.T) / 2 + np.eye(90)
+        want = potential.potential_coordinates(w / w.sum(1, keepdims=True), 2, 25)
+        assert np.allclose(y, want, atol=1e-6)
+
+
 def test_decoder(spark):
     rng = np.random.default_rng(7)
     w1, b1, w2 = rng.standard_normal((5, 3)), rng.standard_normal(5), rng.standard_normal((4, 5))
