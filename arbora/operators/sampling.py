@@ -9,9 +9,17 @@ from pyspark.sql.window import Window
 from arbora.core import join_on, require_unique
 
 
+# Modulus (a prime), multiplier and seed step of the sampling order.
+PRIME, MULTIPLIER, SEED_STEP = 2_147_483_647, 48_271, 69_621
+
+
 def sampling_key(column: str, seed: int = 42) -> Column:
-    """Pseudo-random order that does not depend on partitions."""
-    return F.pmod(F.col(column) * F.lit(7919) + F.lit(seed * 104_729), F.lit(1_000_003))
+    """Pseudo-random order that does not depend on partitions and that any SQL engine can restate.
+
+    Squaring breaks up the regular steps that a linear rule would leave between neighbouring ids.
+    """
+    mixed = (F.pmod(F.col(column).cast("long"), F.lit(PRIME)) * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP)) % F.lit(PRIME)
+    return (mixed * mixed) % F.lit(PRIME)
 
 
 def capped_sample(cells: DataFrame, cap: int, group: str = "node_id", index: str = "cell_index",

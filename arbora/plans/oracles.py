@@ -389,7 +389,8 @@ TRANSITION = """both_w AS (SELECT a, b, w FROM gauss UNION ALL SELECT b, a, w FR
  q2 AS (SELECT a AS id, sqrt(sum(w)) AS q FROM k1 GROUP BY a),
  trans AS (SELECT m.a, m.b, w / x.q / y.q AS t FROM k1 m JOIN q2 x ON x.id = m.a JOIN q2 y ON y.id = m.b)"""
 
-SAMPLE_KEY = "(({0} * 7919 + 42 * 104729) % 1000003)"
+MIXED = "((({0} % 2147483647) * 48271 + 42 * 69621) % 2147483647)"
+SAMPLE_KEY = f"(({MIXED} * {MIXED}) % 2147483647)"
 
 
 def _build() -> dict[str, str]:

@@ -51,6 +51,13 @@ def test_sample_caps(spark):
     assert got.exceptAll(sampling.capped_sample(df.repartition(6), 5)).isEmpty()
 
 
+def test_sampling_order_looks_random(spark):
+    ids = spark.range(2000).withColumnRenamed("id", "cell_index")
+    got = np.array([r[0] for r in sampling.simple_sample(ids, 500, "cell_index").collect()])
+    assert abs(got.mean() - 1000) < 80 and abs(np.corrcoef(got[:-1], got[1:])[0, 1]) < .2
+    assert len(np.unique(got // 100)) == 20
+
+
 def test_number_text(spark):
     values = [0.0, 1.0, -2.5, 100000.0, 1234567.0, 0.0001, 0.00001, 1e-7, 12.3456789, 1e21, 0.1 + 0.2, -0.75]
     df = spark.createDataFrame([(v,) for v in values], "v double")
