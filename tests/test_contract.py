@@ -107,7 +107,7 @@ def plain_siblings(rows, parent, groups, far, gap):
 
 @pytest.mark.parametrize("how", [{}, {"small_groups": 0}, {"small_groups": 0, "child_rows": 4}])
 def test_sibling_merges(spark, how):
-    rows, parent = random_tree(7, 50)
+    rows, parent = random_tree(10, 50)
     nodes, edges = frames(spark, rows, parent)
     single = materialize(nodes.select("node_id", F.col("node_id").alias("head_id")))
     want, merges = plain_siblings(rows, parent, [[r[0]] for r in rows], .7, 4.0)
