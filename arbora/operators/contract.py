@@ -12,7 +12,7 @@ from arbora.functions.vectors import dimension, mean_vector
 from arbora.operators.composition import dominant, regroup
 from arbora.operators.ordering import number_rows
 from arbora.operators.propagate import follow_parents
-from arbora.operators.tree import REAL, degrees, real_edges, topology_counts
+from arbora.operators.tree import REAL, degrees, topology_counts
 
 CHAIN_ROWS = 50_000
 

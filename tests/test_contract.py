@@ -1,12 +1,11 @@
 """Path and sibling contraction against plain sequential restatements, and the whole chain of stages."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from arbora.core import ContractError, materialize
-from arbora.operators import contract, siblings, tree
+from arbora.operators import contract, siblings
 from arbora.plans import stages
 from arbora.sources import standins
 

@@ -1,7 +1,6 @@
 """Temporal nodes against a plain per-row restatement of the rules."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from arbora.core import ContractError
