@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from arbora.llm import fuzzy_lines, quality  # noqa: F401
+from arbora.llm import fuzzy_lines, maxent, quality  # noqa: F401
 from arbora.llm.registry import ORACLES, REGISTRY
 
 __all__ = ["ORACLES", "REGISTRY"]
