@@ -77,6 +77,12 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Hash of the `size` bytes at every position that has so many."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:-size]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
 def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True that do not cross a text boundary."""
     n = len(inside)
