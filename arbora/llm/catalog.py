@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from arbora.llm import fuzzy_lines, language_id, maxent, near_docs, quality, repeats  # noqa: F401
+from arbora.llm import fuzzy_lines, language_id, maxent, near_docs, quality, repeats, templates, warc  # noqa: F401
 from arbora.llm.registry import ORACLES, REGISTRY
 
 __all__ = ["ORACLES", "REGISTRY"]
