@@ -118,8 +118,8 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", top: i
     return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).select("lang", "gram", "rank")
 
 
-def predict(docs: DataFrame, profile: DataFrame, text: str = "text", top: int = TOP) -> DataFrame:
-    """`docs` without the text, plus `lang_pred` and `score`."""
+def predict(docs: DataFrame, profile: DataFrame, text: str = "text", top: int = TOP, keep_text: bool = False) -> DataFrame:
+    """`docs` (without the text unless it is to be kept), plus `lang_pred` and `score`."""
     profile = materialize(profile)
     names = sorted(r.lang for r in profile.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(names) > LANGUAGES:
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, profile: DataFrame, text: str = "text", top: int =
     for r in rows:
         ranks[where[r.gram], column[r.lang]] = r.rank
     shared = docs.sparkSession.sparkContext.broadcast((grams, ranks, names))
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
 
     def run(batches):
         grams, ranks, names = shared.value
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, profile: DataFrame, text: str = "text", top: int =
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema]
                        + ["lang_pred string", "score double"])
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*rest, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, held: F.Column, text: str = "text", lang: str = "lang") -> DataFrame:
