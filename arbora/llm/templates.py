@@ -1,12 +1,15 @@
 """Benchmark decontamination by canonical templates (DataFrame functions only).
 
-Words lose outer punctuation and case. Numbers, units after a number, and names (capitalised words
-inside a sentence) become typed placeholders, so a question asked again with other values keeps its
+Words lose outer punctuation and case. Numbers, units after a number, and names (words with an ASCII
+capital inside a sentence) become typed placeholders, so a question asked again with other values keeps its
 template. Hashes of `WINDOW` consecutive template words of the benchmark are joined to those of the
 documents. Hits on one diagonal (document position minus item position) of one item form runs; a run
 is a leak if it is at least `RUN` words long (or the whole item, if shorter) and its slots are
 consistent: one value of the item always meets one value of the document, and the other way round.
 
+Only texts that hold an anchor (the longest plain word of some benchmark window) are looked at word by
+word; every text with a hit holds one.
+
 Items with fewer than `WINDOW` words are windows of their own length. Benchmark windows with fewer
 than `LITERAL` plain words (or fewer than half of a short item) say nothing and are left out.
 
@@ -34,29 +37,35 @@ UNITS = ("% $ cent cents cm day days degrees dollar dollars eur euro euros feet
          "inch inches kg km kmh l lb lbs liter liters litre litres m meter meters metre metres mg mile miles min minute "
          "minutes ml mm month months mph ms ounce ounces oz percent pound pounds s sec second seconds ton tons usd week "
          "weeks yard yards year years € £").split()
-_OUTER = ".,;:!?\"'()[]{}<>|*#&%$/\\`~^_=+-–—…“”‘’«»¿¡"
+_NUMBER = r"^\d[\d.,:/]*$"
+# Words end at blanks, with the punctuation around them; only the end of a sentence stays on its word.
+_GAP = r"[^\p{L}\p{N}.!?%$€£]*\s[^\p{L}\p{N}%$€£]*"
+_EDGES = r"^[^\p{L}\p{N}%$€£]+|[^\p{L}\p{N}.!?%$€£]+$"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(_OUTER)) != "")
+    edge = F.substring(text, 1, 1).rlike(r"[^\p{L}\p{N}]") | F.substring(text, -1, 1).rlike(r"[^\p{L}\p{N}.!?]")
+    return F.filter(F.split(F.when(edge, F.regexp_replace(text, _EDGES, "")).otherwise(text), _GAP), lambda w: w != "")
 
 
-def _template(words: Column, w: Column, i: Column) -> Column:
-    """Canonical form of word `w` at `i`; placeholders begin with a blank, which no word does."""
-    core = F.btrim(w, F.lit(_OUTER))
-    low = F.lower(core)
-    before = F.when(i > 0, F.get(words, F.greatest(i - 1, F.lit(0))))
-    # Most words begin with a small letter and hold no digit; the cheap first-character test settles them.
-    first = F.substring(core, 1, 1)
-    number = (first <= "9") & core.rlike(r"^\d[\d.,:/]*$")
-    plain = before.isNull() | before.rlike(r"[.!?:]$")
-    unit = before.isNotNull() & low.isin(*UNITS) & F.btrim(before, F.lit(_OUTER)).rlike(r"^\d[\d.,:/]*$")
-    name = (first != F.lower(first)) & ~plain
-    return F.when(number, " num").when(unit, " unit").when(name, " name").otherwise(low)
+def _cores(words: Column) -> Column:
+    """The words without the end of a sentence."""
+    return F.transform(words, lambda w: F.when(w.endswith(".") | w.endswith("!") | w.endswith("?"),
+                                               F.rtrim(w, F.lit(".!?"))).otherwise(w))
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w, i: F.xxhash64(_template(words, w, i)))
+def _template(words: Column, cores: Column, core: Column, i: Column) -> Column:
+    """Canonical form of the word at `i`; placeholders begin with a blank, which no word does.
+
+    The comparisons with ":" (the character after "9") and "a" settle most words without a pattern.
+    """
+    before = F.when(i > 0, F.get(cores, F.greatest(i - 1, F.lit(0))))
+    ended = (i == 0) | F.coalesce(F.get(words, F.greatest(i - 1, F.lit(0))).rlike(r"[.!?]$"), F.lit(True))
+    first = F.substring(core, 1, 1)
+    number = (core < ":") & core.rlike(_NUMBER)
+    unit = core.isin(*UNITS) & before.rlike(_NUMBER)
+    name = (core < "a") & (first != F.lower(first)) & ~ended
+    return F.when(number, " num").when(unit, " unit").when(name, " name").otherwise(F.lower(core))
 
 
 def _windows(h: Column, size: int) -> Column:
@@ -65,10 +74,39 @@ def _windows(h: Column, size: int) -> Column:
     return F.when(F.size(h) >= size, made).otherwise(F.array().cast("array<bigint>"))
 
 
+def _suspects(texts: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
+    """The texts that hold an anchor: the longest plain word of some benchmark window.
+
+    A text with a window holds the window's anchor. If a window has no plain word, every text is one.
+    """
+    plain = r"^[\p{L}\p{N}]+$"
+    parts = []
+    for size in sizes:
+        mine = bench.where(F.col("n") >= WINDOW if size == WINDOW else F.col("n") == size)
+        at = mine.select("forms", F.explode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("i"))
+        words = F.filter(F.slice("forms", F.col("i"), size), lambda f: f.rlike(plain))
+        parts.append(at.select(F.array_max(F.transform(words, lambda f: F.struct(F.length(f).alias("n"), f.alias("w"))))["w"].alias("anchor")))
+    anchors = parts[0]
+    for part in parts[1:]:
+        anchors = anchors.unionByName(part)
+    anchors = materialize(anchors.distinct())
+    if not anchors.where("anchor is null").isEmpty():
+        return texts
+    if at_most(anchors, SMALL):
+        anchors = F.broadcast(anchors)
+    said = texts.select("_doc", F.explode(F.split("_text", r"[^\p{L}\p{N}%$€£]+")).alias("w"))
+    found = said.select("_doc", F.lower("w").alias("anchor")).join(anchors, "anchor", "left_semi")
+    found = materialize(found.select(F.col("_doc").alias("_want")).distinct())
+    found = F.broadcast(found) if at_most(found, SMALL) else found
+    return texts.join(found, F.col("_doc").eqNullSafe(F.col("_want")), "left_semi")
+
+
 def benchmark_words(items: DataFrame, key: str, text: str) -> DataFrame:
     """(item, n, words, forms): one row per distinct template of the benchmark."""
     split = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item"), _words(F.col(text)).alias("words"))
-    formed = split.select("item", "words", F.transform("words", lambda w, i: _template(F.col("words"), w, i)).alias("forms"))
+    split = split.withColumn("cores", _cores(F.col("words")))
+    formed = split.select("item", "words", F.transform(
+        "cores", lambda c, i: _template(F.col("words"), F.col("cores"), c, i)).alias("forms"))
     return (formed.where(F.size("words") > 0).groupBy("words", "forms").agg(F.min("item").alias("item"))
             .select("item", F.size("words").alias("n"), "words", "forms"))
 
@@ -80,7 +118,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     short = [r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most WINDOW - 1 rows
     sizes = sorted({WINDOW, *short})
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
-    split = texts.select("_doc", _words(F.col("_text")).alias("w")).select("_doc", _hashes(F.col("w")).alias("h"))
+    split = _suspects(texts, bench, sizes).select("_doc", _words(F.col("_text")).alias("w")).select("_doc", "w", _cores(F.col("w")).alias("c"))
+    split = split.select("_doc", F.transform("c", lambda c, i: F.xxhash64(_template(F.col("w"), F.col("c"), c, i))).alias("h"))
     hits = None
     for size in sizes:
         mine = bench.where(F.col("n") >= WINDOW if size == WINDOW else F.col("n") == size)
@@ -107,8 +146,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     step = F.sequence(F.col("from"), F.col("to") - 1)
     pairs = F.array_distinct(F.transform(
         F.filter(step, lambda i: F.get("forms", i).startswith(" ")),
-        lambda i: F.struct(F.lower(F.btrim(F.get("words", i), F.lit(_OUTER))).alias("a"),
-                           F.lower(F.btrim(F.get("doc_words", i + F.col("d")), F.lit(_OUTER))).alias("b"))))
+        lambda i: F.struct(F.lower(F.rtrim(F.get("words", i), F.lit(".!?"))).alias("a"),
+                           F.lower(F.rtrim(F.get("doc_words", i + F.col("d")), F.lit(".!?"))).alias("b"))))
     checked = both.select("_doc", "item", (F.col("to") - F.col("from")).alias("run"), pairs.alias("pairs"))
     one = F.size(F.array_distinct("pairs.a")) == F.size("pairs")
     other = F.size(F.array_distinct("pairs.b")) == F.size("pairs")
