@@ -7,8 +7,8 @@ documents. Hits on one diagonal (document position minus item position) of one i
 is a leak if it is at least `RUN` words long (or the whole item, if shorter) and its slots are
 consistent: one value of the item always meets one value of the document, and the other way round.
 
-Only texts that hold an anchor (the longest plain word of some benchmark window) are looked at word by
-word; every text with a hit holds one.
+Only texts that hold all anchors (the longest plain words) of some block of an item are looked at word
+by word; every text with a leak does.
 
 Items with fewer than `WINDOW` words are windows of their own length. Benchmark windows with fewer
 than `LITERAL` plain words (or fewer than half of a short item) say nothing and are left out.
@@ -30,6 +30,7 @@ from arbora.core import at_most, materialize
 from arbora.llm.registry import query, table
 
 WINDOW, RUN, LITERAL = 8, 13, 4
+BLOCK, ANCHORS = (RUN + 1) // 2, 3
 SMALL = 200_000
 
 # Unit words that count as a unit after a number.
@@ -74,31 +75,31 @@ def _windows(h: Column, size: int) -> Column:
     return F.when(F.size(h) >= size, made).otherwise(F.array().cast("array<bigint>"))
 
 
-def _suspects(texts: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
-    """The texts that hold an anchor: the longest plain word of some benchmark window.
+def _suspects(texts: DataFrame, bench: DataFrame) -> DataFrame:
+    """The texts that hold all anchors of some block of an item.
 
-    A text with a window holds the window's anchor. If a window has no plain word, every text is one.
+    Every run of `RUN` = 2 * `BLOCK` - 1 words, and every whole item, covers a whole block of `BLOCK`
+    words that begins at a multiple of `BLOCK` (an item with fewer words is one block). Its anchors are
+    its `ANCHORS` longest plain words. If a block has none, every text is a suspect.
     """
-    plain = r"^[\p{L}\p{N}]+$"
-    parts = []
-    for size in sizes:
-        mine = bench.where(F.col("n") >= WINDOW if size == WINDOW else F.col("n") == size)
-        at = mine.select("forms", F.explode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("i"))
-        words = F.filter(F.slice("forms", F.col("i"), size), lambda f: f.rlike(plain))
-        parts.append(at.select(F.array_max(F.transform(words, lambda f: F.struct(F.length(f).alias("n"), f.alias("w"))))["w"].alias("anchor")))
-    anchors = parts[0]
-    for part in parts[1:]:
-        anchors = anchors.unionByName(part)
-    anchors = materialize(anchors.distinct())
-    if not anchors.where("anchor is null").isEmpty():
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - BLOCK + 1, F.lit(1)), F.lit(BLOCK))
+    blocks = bench.select("item", "forms", F.explode(starts).alias("at"))
+    plain = F.array_distinct(F.filter(F.slice("forms", F.col("at"), BLOCK), lambda f: f.rlike(r"^[\p{L}\p{N}]+$")))
+    ranked = F.array_sort(F.transform(plain, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("w"))))
+    blocks = materialize(blocks.select("item", "at", F.slice(ranked["w"], 1, ANCHORS).alias("anchors")))
+    if not blocks.where("size(anchors) = 0").isEmpty():
         return texts
-    if at_most(anchors, SMALL):
-        anchors = F.broadcast(anchors)
+    known = materialize(blocks.select("item", "at", F.size("anchors").alias("all"), F.explode("anchors").alias("anchor")))
+    words = materialize(known.select("anchor").distinct())
+    if at_most(words, SMALL):
+        words = F.broadcast(words)
     said = texts.select("_doc", F.explode(F.split("_text", r"[^\p{L}\p{N}%$€£]+")).alias("w"))
-    found = said.select("_doc", F.lower("w").alias("anchor")).join(anchors, "anchor", "left_semi")
-    found = materialize(found.select(F.col("_doc").alias("_want")).distinct())
-    found = F.broadcast(found) if at_most(found, SMALL) else found
-    return texts.join(found, F.col("_doc").eqNullSafe(F.col("_want")), "left_semi")
+    found = materialize(said.select("_doc", F.lower("w").alias("anchor")).join(words, "anchor", "left_semi").distinct())
+    full = (found.join(known, "anchor").groupBy("_doc", "item", "at").agg(F.count("*").alias("c"), F.max("all").alias("all"))
+            .where("c = all"))
+    wanted = materialize(full.select(F.col("_doc").alias("_want")).distinct())
+    wanted = F.broadcast(wanted) if at_most(wanted, SMALL) else wanted
+    return texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_want")), "left_semi")
 
 
 def benchmark_words(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -118,7 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     short = [r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most WINDOW - 1 rows
     sizes = sorted({WINDOW, *short})
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_text is not null")
-    split = _suspects(texts, bench, sizes).select("_doc", _words(F.col("_text")).alias("w")).select("_doc", "w", _cores(F.col("w")).alias("c"))
+    split = _suspects(texts, bench).select("_doc", _words(F.col("_text")).alias("w")).select("_doc", "w", _cores(F.col("w")).alias("c"))
     split = split.select("_doc", F.transform("c", lambda c, i: F.xxhash64(_template(F.col("w"), F.col("c"), c, i))).alias("h"))
     hits = None
     for size in sizes:
