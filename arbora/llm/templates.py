@@ -134,8 +134,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         part = seen.join(known, "window").select("_doc", "item", (F.col("p") - F.col("i")).alias("d"), "i", F.lit(size).alias("size"))
         hits = part if hits is None else hits.unionByName(part)
     hits = materialize(hits.distinct())
-    line = Window.partitionBy("_doc", "item", "d", "size")
-    runs = (hits.withColumn("g", F.col("i") - F.row_number().over(line.orderBy("i")))
+    line = Window.partitionBy("_doc", "item", "d", "size").orderBy("i")
+    # Windows that overlap or touch cover a run without a gap, even where windows of few plain words were left out.
+    apart = F.coalesce(F.col("i") - F.lag("i").over(line) > F.col("size"), F.lit(True))
+    runs = (hits.withColumn("_new", apart.cast("int")).withColumn("g", F.sum("_new").over(line))
             .groupBy("_doc", "item", "d", "size", "g")
             .agg(F.min("i").alias("from"), (F.max("i") + F.max("size")).alias("to")))
     runs = materialize(runs.join(bench, "item").where(F.col("to") - F.col("from") >= F.least(F.lit(RUN), F.col("n"))))
