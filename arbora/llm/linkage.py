@@ -4,9 +4,9 @@ Two items are linked when they share a bucket and the exact Jaccard similarity o
 reaches the threshold; classes are the connected components. A bucket with m equal-looking items
 holds m * m / 2 pairs, so pairs inside one class are never compared twice over:
 
-1. Every open bucket (one that still spans two classes) names a leader. All its items of *other*
-   classes are compared with the leader, links merge classes, and the leader leaves the bucket: all
-   its pairs are settled.
+1. Every open bucket (one that still spans two classes) names up to `LEADERS` leaders. All its items of
+   *other* classes are compared with them, links merge classes, and the leaders leave the bucket: all
+   their pairs are settled.
 2. When the pairs of different classes left over in all buckets are no more than a small multiple of
    the items, they are compared at once.
 
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arbora.core import is_empty, materialize
 from arbora.operators.components import connected
 
-LEFTOVER = 4  # pairs per bucket row that may be compared at once
+LEFTOVER = 64  # pairs per bucket row that may be compared at once
+LEADERS = 32  # leaders per open bucket and round
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -52,25 +54,31 @@ def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
         placed = rows if found is None else rows.join(found, "id", "left")
         placed = placed.withColumn("class", F.coalesce("root", "id") if found is not None else F.col("id"))
         placed = placed.select("id", "bucket", "class")
-        sizes = placed.groupBy("bucket", "class").agg(
-            F.count("*").alias("_n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("_first"))
+        sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
         n = F.col("_n").cast("double")
         open_buckets = materialize(
             sizes.groupBy("bucket").agg(
                 F.count("*").alias("_classes"), F.sum(n).alias("_rows"),
-                ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("_pairs"),
-                F.min_by("_first", F.xxhash64("_first", F.lit(turn))).alias("leader"))
+                ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("_pairs"))
             .where("_classes > 1"))
         left = open_buckets.agg(F.sum("_pairs"), F.sum("_rows")).first()
         if not left[0]:
             break
         at_once = left[0] <= LEFTOVER * left[1]
-        placed = materialize(placed.join(open_buckets.select("bucket", "leader"), "bucket"))
+        placed = materialize(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
         if at_once:
             other = placed.select("bucket", F.col("id").alias("b"), F.col("class").alias("_class"))
             pairs = placed.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class <> _class")
         else:
-            leaders = placed.where("id = leader").select("bucket", F.col("class").alias("_class"))
+            # The first leaders are chosen by hash; later ones from small classes, which this settles for good.
+            order = [F.xxhash64("id", F.lit(turn)), "id"]
+            ranked = placed
+            if turn > 1:
+                ranked = placed.join(sizes, ["bucket", "class"])
+                order = ["_n", *order]
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+            leaders = materialize(ranked.withColumn("_rank", rank).where(F.col("_rank") <= LEADERS).select(
+                "bucket", F.col("id").alias("leader"), F.col("class").alias("_class")))
             pairs = placed.join(leaders, "bucket").where("class <> _class").select(
                 F.col("leader").alias("a"), F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -80,8 +88,8 @@ def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
             found = connected(links).select(F.col("node").alias("id"), "root")
         if at_once:
             break
-        rows = placed.where("id <> leader").select("id", "bucket")
-        rows = materialize(rows)
+        used = leaders.select("bucket", F.col("leader").alias("id"))
+        rows = materialize(placed.join(used, ["bucket", "id"], "left_anti").select("id", "bucket"))
     if found is None:
         return rows.select("id", F.col("id").alias("root")).limit(0)
     return found
