@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = context.applicationId
     if app not in _local_folders:

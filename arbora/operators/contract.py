@@ -258,13 +258,16 @@ def contraction_summary(nodes: DataFrame, first: DataFrame, siblings: DataFrame,
     def heads(groups, name):
         return groups.agg(F.countDistinct("head_id").alias(name))
 
-    sizes = mapping.groupBy("contracted_node_id").agg(
+    sizes = mapping.groupBy("contracted_node_id").agg(F.count("*").alias("_size"))
+    shape = sizes.agg(F.max("_size").alias("max_sources"), F.count_if(F.col("_size") > 1).alias("merged_groups"))
+    # Anchors are counted in the groups of the first path pass; sibling merges do not add to them.
+    anchors = mapping.select(F.col("source_node_id").alias("node_id"), "source_was_anchor")
+    met = first.join(anchors, "node_id").groupBy("head_id").agg(
         F.count("*").alias("_size"), F.count_if("source_was_anchor").alias("_anchors"))
-    shape = sizes.agg(F.max("_size").alias("max_sources"), F.count_if(F.col("_size") > 1).alias("merged_groups"),
-                      F.sum(F.when(F.col("_size") > 1, F.col("_anchors")).otherwise(0)).alias("merged_anchors"))
+    met = met.agg(F.coalesce(F.sum(F.when(F.col("_size") > 1, F.col("_anchors"))), F.lit(0)).alias("merged_anchors"))
     row = (nodes.agg(F.count("*").alias("n_source_nodes")).crossJoin(heads(first, "_first"))
            .crossJoin(heads(siblings, "_siblings")).crossJoin(heads(final, "n_contracted_nodes"))
-           .crossJoin(shape))
+           .crossJoin(shape).crossJoin(met))
     return row.select(
         "n_source_nodes", "n_contracted_nodes",
         (F.col("n_source_nodes") - F.col("_first")).alias("removed_by_paths"),

@@ -52,6 +52,10 @@ def attach_one_to_one(sample: DataFrame, extra: DataFrame, key: str) -> DataFram
     return sample.join(wanted, key, "left")
 
 
-def jittered(df: DataFrame, column: str, width: float, seed: int = 42) -> DataFrame:
-    """Gaussian noise for display only."""
-    return df.withColumn(column, F.col(column) + F.randn(seed) * F.lit(float(width)))
+def jittered(df: DataFrame, column: str, width: float, key: str, seed: int = 42) -> DataFrame:
+    """Gaussian noise for display only, drawn from a hash of `key`, so it is the same however rows are dealt."""
+    def uniform(part: int):
+        return (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(part)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    noise = F.sqrt(-2 * F.log(uniform(0))) * F.cos(F.lit(6.283185307179586) * uniform(1))
+    return df.withColumn(column, F.col(column) + noise * F.lit(float(width)))
