@@ -1,7 +1,7 @@
 """MinHash near-dedup of documents with ProbMinHash signatures.
 
-Shingles are `WORDS` consecutive blank-separated words (ASCII capitals lowered), weighted by how often
-they occur; a text of fewer words is one shingle. Every shingle sends a Poisson process of arrivals
+Shingles are `WORDS` consecutive blank-separated words (ASCII capitals lowered), with the weight
+1 + ln(occurrences), so that no repeated shingle alone decides a signature; a text of fewer words is one shingle. Every shingle sends a Poisson process of arrivals
 with its weight as rate, each arrival hits one register at random, and a register keeps the shingle
 that hits it first; a shingle stops as soon as its next arrival is later than all registers. Two
 signatures agree in a register with the probability Jaccard similarity of the weighted sets. Bands of
@@ -53,7 +53,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray):
     order = np.lexsort((full, owner))
     owner, full = owner[order], full[order]
     new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (full[1:] != full[:-1]))) if len(full) else order
-    return owner[new], full[new], np.diff(np.append(new, len(full)))
+    return owner[new], full[new], 1 + np.log(np.diff(np.append(new, len(full))))
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
