@@ -1,21 +1,30 @@
 """From buckets of similar items to verified classes, without listing all pairs of a bucket.
 
-Two items are linked when they share a bucket and the exact Jaccard similarity of their shingle sets
-reaches the threshold; classes are the connected components. A bucket with m equal-looking items
-holds m * m / 2 pairs, so pairs inside one class are never compared twice over:
-
-1. Every open bucket (one that still spans two classes) names up to `LEADERS` leaders. All its items of
-   *other* classes are compared with them, links merge classes, and the leaders leave the bucket: all
-   their pairs are settled.
-2. When the pairs of different classes left over in all buckets are no more than a small multiple of
-   the items, they are compared at once.
-
-A pair of a bucket is skipped only if its two items are already in one class, so no link that could
-join two classes is lost. Every round costs a number of comparisons linear in the items.
+Items that share a bucket are candidates. Two candidates are linked when the exact Jaccard similarity of
+their shingle sets reaches the threshold; classes are the connected components.
+
+1. *Narrowing.* Many unlike items can share buckets through one frequent passage. So the shingles of every
+   candidate are ordered from rare to frequent (counted over all candidates). At the first shingle that two
+   sets have in common, the overlap is at most what is left of either set from there on (`left`), and it has
+   to be at least t / (1 + t) of both sizes together. A row (item, shingle, level) is written for every
+   size level of the smaller partner that this bound leaves possible; a frequent passage lies
+   behind these rows, and a linked pair always shares one of them.
+2. *Rounds.* A shingle and level held by items of two or more classes is open. It names leaders (those with
+   most left: the most typical ones), all its items of other classes are compared with them, links merge
+   classes, and the leaders leave: all their pairs are settled. Copies therefore cost one comparison each and
+   not one per pair. The number of leaders grows
+   eightfold, so the rounds grow with the logarithm of the largest group.
+3. When the pairs of different classes that are left are no more than `LEFTOVER` per row, they are looked at
+   at once; those that the bound of step 1 excludes are dropped inside the join.
+
+A pair is skipped only if its two items are already in one class or cannot reach the threshold, so no link
+that could join two classes is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +32,9 @@ from pyspark.sql.window import Window
 from arbora.core import is_empty, materialize
 from arbora.operators.components import connected
 
-LEFTOVER = 64  # pairs per bucket row that may be compared at once
-LEADERS = 32  # leaders per open bucket and round
+LEFTOVER = 256  # pairs per row that may be looked at at once
+LEADERS = 4  # leaders per open shingle in the first round
+LEVEL = 1.12  # ratio of the sizes between two levels
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -37,6 +47,33 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             .where(F.col("_n") >= F.lit(threshold) * (F.col("_m") - F.col("_n"))).select("a", "b"))
 
 
+def fronts(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, bucket, left, n): where a set of n shingles may meet a similar one for the first time.
+
+    A bucket is a shingle that several sets hold, together with a size level of the smaller partner.
+    """
+    held = sets.select("id", F.explode("shingles").alias("shingle"))
+    common = held.groupBy("shingle").agg(F.count("*").alias("_n")).where("_n > 1")
+    ordered = (held.join(common, "shingle", "left")
+               .groupBy("id").agg(F.sort_array(F.collect_list(
+                   F.struct(F.coalesce("_n", F.lit(1)).alias("holders"), F.col("shingle")))).alias("_held"))
+               .withColumn("n", F.size("_held")))
+    front = F.slice("_held", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1).cast("int"))
+    rows = ordered.select("id", "n", F.posexplode(front).alias("_at", "_x")).where("_x.holders > 1")
+    own = F.floor(F.log("n") / math.log(LEVEL) + 1e-9)
+    span = math.ceil(math.log(1 / threshold) / math.log(LEVEL))
+    rows = rows.select("id", "n", (F.col("n") - F.col("_at")).alias("left"), F.col("_x.shingle").alias("shingle"),
+                       F.explode(F.sequence(own - span, own)).alias("_level"))
+    least = F.greatest(F.col("n") * threshold, F.pow(F.lit(LEVEL), F.col("_level")))
+    return (rows.where(F.col("left") >= _needed(F.col("n") + least, threshold))
+            .select("id", F.xxhash64("shingle", "_level").alias("bucket"), "left", "n"))
+
+
+def _needed(sizes, threshold: float):
+    """The least overlap of two sets with these sizes together."""
+    return sizes * (threshold / (1 + threshold)) - 1e-6
+
+
 def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
     """(id, root) of every item that is linked to another one; root is the smallest id of the class.
 
@@ -44,16 +81,15 @@ def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
     another one and returns (id, shingles), one array without repeats per item. Items without a link
     have no row. Empty tables give an empty table.
     """
-    rows = materialize(buckets.select("id", "bucket").distinct())
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    rows = materialize(rows.join(crowded, "bucket", "left_semi"))
-    sets = None if is_empty(rows) else materialize(sets_of(materialize(rows.select("id").distinct())))
-    found, links, turn = None, None, 0
-    while not is_empty(rows):
-        turn += 1
+    shared = (buckets.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+              .where("_low <> _high").select("bucket"))
+    ids = materialize(buckets.join(shared, "bucket", "left_semi").select("id").distinct())
+    sets = None if is_empty(ids) else materialize(sets_of(ids))
+    rows = None if sets is None else materialize(fronts(sets, threshold))
+    found, links, leading, going = None, None, LEADERS, rows is not None
+    while going:
         placed = rows if found is None else rows.join(found, "id", "left")
         placed = placed.withColumn("class", F.coalesce("root", "id") if found is not None else F.col("id"))
-        placed = placed.select("id", "bucket", "class")
         sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
         n = F.col("_n").cast("double")
         open_buckets = materialize(
@@ -64,32 +100,31 @@ def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
         left = open_buckets.agg(F.sum("_pairs"), F.sum("_rows")).first()
         if not left[0]:
             break
-        at_once = left[0] <= LEFTOVER * left[1]
-        placed = materialize(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
+        at_once = leading > LEADERS and left[0] <= LEFTOVER * left[1]  # the first round settles the copies
+        placed = materialize(placed.join(open_buckets.select("bucket"), "bucket", "left_semi").select("bucket", "id", "class", "left", "n"))
+        reach = (F.least("left", "_left") >= _needed(F.col("n") + F.col("_m"), threshold)) & (F.col("class") != F.col("_class"))
         if at_once:
-            other = placed.select("bucket", F.col("id").alias("b"), F.col("class").alias("_class"))
-            pairs = placed.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and class <> _class")
+            other = placed.select(F.col("bucket").alias("_b"), F.col("id").alias("other"), F.col("class").alias("_class"),
+                                  F.col("left").alias("_left"), F.col("n").alias("_m"))
+            reach = reach & (F.col("id") < F.col("other"))
         else:
-            # The first leaders are chosen by hash; later ones from small classes, which this settles for good.
-            order = [F.xxhash64("id", F.lit(turn)), "id"]
-            ranked = placed
-            if turn > 1:
-                ranked = placed.join(sizes, ["bucket", "class"])
-                order = ["_n", *order]
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-            leaders = materialize(ranked.withColumn("_rank", rank).where(F.col("_rank") <= LEADERS).select(
-                "bucket", F.col("id").alias("leader"), F.col("class").alias("_class")))
-            pairs = placed.join(leaders, "bucket").where("class <> _class").select(
-                F.col("leader").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # The hash orders all ids alike, so that the shingles of one group name the same leaders.
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("left"), F.xxhash64("id"), "id"))
+            other = materialize(placed.withColumn("_rank", rank).where(F.col("_rank") <= leading).select(
+                F.col("bucket").alias("_b"), F.col("id").alias("other"), F.col("class").alias("_class"),
+                F.col("left").alias("_left"), F.col("n").alias("_m")))
+            leading *= 8
+        pairs = (placed.join(other, (F.col("bucket") == F.col("_b")) & reach)
+                 .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         new = materialize(similar_pairs(pairs, sets, threshold))
         if not is_empty(new):
             links = new if links is None else links.unionByName(new)
             found = connected(links).select(F.col("node").alias("id"), "root")
         if at_once:
             break
-        used = leaders.select("bucket", F.col("leader").alias("id"))
-        rows = materialize(placed.join(used, ["bucket", "id"], "left_anti").select("id", "bucket"))
+        used = other.select(F.col("_b").alias("bucket"), F.col("other").alias("id"))
+        rows = materialize(placed.join(used, ["bucket", "id"], "left_anti").drop("class"))
+        going = not is_empty(rows)
     if found is None:
-        return rows.select("id", F.col("id").alias("root")).limit(0)
+        return ids.select("id", F.col("id").alias("root")).limit(0)
     return found
