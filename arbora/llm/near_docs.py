@@ -4,7 +4,10 @@ Shingles are `WORDS` consecutive blank-separated words (ASCII capitals lowered),
 1 + ln(occurrences), so that no repeated shingle alone decides a signature; a text of fewer words is one shingle. Every shingle sends a Poisson process of arrivals
 with its weight as rate, each arrival hits one register at random, and a register keeps the shingle
 that hits it first; a shingle stops as soon as its next arrival is later than all registers. Two
-signatures agree in a register with the probability Jaccard similarity of the weighted sets. Bands of
+signatures agree in a register with the probability Jaccard similarity of the weighted sets. Links are
+decided by the sets, whose similarity the weights can lower without limit, so a text with a repeated
+shingle has a second signature with equal weights (that of a text without one is the same either way):
+two texts at set Jaccard 0.8 share a band with the stated probability whatever they repeat. Bands of
 `ROWS` registers make buckets; pairs from a bucket are verified by the exact Jaccard similarity of
 their shingle sets, and linked at `threshold`. Classes are the connected components.
 
@@ -76,6 +79,22 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     return holder.reshape(n, REGISTERS)
 
 
+def bands(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int):
+    """(text, bucket), ordered by text: `BANDS` of every text, and as many again of texts with unequal weights."""
+    uneven = np.zeros(n, bool)
+    uneven[owner[weight > 1]] = True
+    mine, place = uneven[owner], np.cumsum(uneven) - 1
+    regs = np.concatenate([signatures(owner, shingle, weight, n),
+                           signatures(place[owner[mine]], shingle[mine], np.ones(int(mine.sum())), int(uneven.sum()))])
+    regs = regs.reshape(len(regs), BANDS, ROWS)
+    made = np.tile(np.arange(BANDS, dtype=np.uint64), (len(regs), 1))
+    for r in range(ROWS):
+        made = spans.mix(made * np.uint64(0x9E3779B97F4A7C15) ^ regs[:, :, r])
+    text = np.repeat(np.append(np.arange(n), np.flatnonzero(uneven)), BANDS)
+    order = np.argsort(text, kind="stable")
+    return text[order], made.ravel()[order]
+
+
 def _sketch(batches):
     for batch in batches:
         texts = spans.column(batch, "_text")
@@ -85,12 +104,9 @@ def _sketch(batches):
             held = np.bincount(owner, minlength=n) > 0
             item = np.zeros(n, np.uint64)
             np.add.at(item, owner, spans.mix(shingle))
-            regs = signatures(owner, shingle, weight, n).reshape(n, BANDS, ROWS)
-            bands = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
-            for r in range(ROWS):
-                bands = spans.mix(bands * np.uint64(0x9E3779B97F4A7C15) ^ regs[:, :, r])
-            flat = pa.array(bands.ravel().view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), flat)
+            text, bucket = bands(owner, shingle, weight, n)
+            ends = np.append(0, np.cumsum(np.bincount(text, minlength=n)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, n), pa.array(item.view(np.int64), mask=~held), lists], ["_id", "item", "bands"])
 

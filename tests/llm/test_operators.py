@@ -250,6 +250,19 @@ def test_templates_find_changed_values(spark):
     assert {r.doc_id for r in marked.where("contaminated").collect()} == {1, 2}
 
 
+def test_near_copies_that_repeat_a_passage_share_bands(spark):
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(200):
+        a = rng.integers(0, 2**63, 440, dtype=np.uint64)
+        one, two = np.sort(a[:400]), np.sort(a[40:])
+        weight = np.ones(400)
+        weight[rng.choice(400, 80, replace=False)] = 1 + np.log(1000)
+        text, bucket = near_docs.bands(np.repeat([0, 1], 400), np.append(one, two), np.append(weight, np.ones(400)), 2)
+        missed += not set(bucket[text == 0].tolist()) & set(bucket[text == 1].tolist())
+    assert missed == 0  # bands of the weighted signature alone miss about 4 of 10
+
+
 def test_warc_odd_payloads(spark, tmp_path):
     big = "y" * 1500
     rows = [(1, "http://a b/\r\n", None), (2, None, ""), (3, "u", "x WARC/1.1\r\nWARC-Type: response\r\n\r\nWARC/1.1\r\n é"), (4, "u", big),
