@@ -3,9 +3,10 @@
 Words lose outer punctuation and case. Numbers, units after a number, and names (words with an ASCII
 capital inside a sentence) become typed placeholders, so a question asked again with other values keeps its
 template. Hashes of `WINDOW` consecutive template words of the benchmark are joined to those of the
-documents. Hits on one diagonal (document position minus item position) of one item form runs; a run
-is a leak if it is at least `RUN` words long (or the whole item, if shorter) and its slots are
-consistent: one value of the item always meets one value of the document, and the other way round.
+documents. Hits on one diagonal (document position minus item position) of one item form runs. Slots are
+consistent if one value of the item always meets one value of the document, and the other way round. A
+run is a leak if it is at least `RUN` words long (or the whole item, if shorter) and its slots are
+consistent, or if a part of that length has the item's own values in all its slots.
 
 Only texts that hold all anchors (the longest plain words) of some block of an item are looked at word
 by word; every text with a leak does.
@@ -112,6 +113,16 @@ def benchmark_words(items: DataFrame, key: str, text: str) -> DataFrame:
             .select("item", F.size("words").alias("n"), "words", "forms"))
 
 
+def _longest(slots: Column, start: Column, end: Column) -> Column:
+    """Length of the run start..end if its slots (i, a, b) are consistent, else of its longest part without another value."""
+    pairs = F.array_distinct(F.transform(slots, lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))
+    one = F.size(F.array_distinct(pairs["a"])) == F.size(pairs)
+    other = F.size(F.array_distinct(pairs["b"])) == F.size(pairs)
+    cuts = F.concat(F.array(start - 1), F.transform(F.filter(slots, lambda x: x.a != x.b), lambda x: x.i), F.array(end))
+    parts = F.transform(cuts, lambda x, k: F.get(cuts, k + 1) - x - 1)
+    return F.when(one & other, end - start).otherwise(F.array_max(parts))
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """(_doc, item, run): leaked items of each document with the length of the longest consistent run."""
@@ -147,14 +158,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         F.col("_doc").alias("_again"), _words(F.col("_text")).alias("doc_words"))
     both = runs.join(again, F.col("_doc").eqNullSafe(F.col("_again")))
     step = F.sequence(F.col("from"), F.col("to") - 1)
-    pairs = F.array_distinct(F.transform(
+    slots = F.transform(
         F.filter(step, lambda i: F.get("forms", i).startswith(" ")),
-        lambda i: F.struct(F.lower(F.rtrim(F.get("words", i), F.lit(".!?"))).alias("a"),
-                           F.lower(F.rtrim(F.get("doc_words", i + F.col("d")), F.lit(".!?"))).alias("b"))))
-    checked = both.select("_doc", "item", (F.col("to") - F.col("from")).alias("run"), pairs.alias("pairs"))
-    one = F.size(F.array_distinct("pairs.a")) == F.size("pairs")
-    other = F.size(F.array_distinct("pairs.b")) == F.size("pairs")
-    return checked.where(one & other).groupBy("_doc", "item").agg(F.max("run").alias("run"))
+        lambda i: F.struct(i.alias("i"), F.lower(F.rtrim(F.get("words", i), F.lit(".!?"))).alias("a"),
+                           F.lower(F.rtrim(F.get("doc_words", i + F.col("d")), F.lit(".!?"))).alias("b")))
+    checked = both.select("_doc", "item", "n", "from", "to", slots.alias("slots"))
+    checked = checked.withColumn("run", _longest(F.col("slots"), F.col("from"), F.col("to")))
+    return checked.where(F.col("run") >= F.least(F.lit(RUN), F.col("n"))).groupBy("_doc", "item").agg(F.max("run").alias("run"))
 
 
 def marked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",

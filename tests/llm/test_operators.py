@@ -250,6 +250,42 @@ def test_templates_find_changed_values(spark):
     assert {r.doc_id for r in marked.where("contaminated").collect()} == {1, 2}
 
 
+def test_templates_find_parts_of_altered_copies(spark):
+    plain = [f"plain{chr(97 + i)}" for i in range(40)]
+
+    def text(**slots):
+        return " ".join(slots.get(f"w{i}", w) for i, w in enumerate(plain))
+
+    item = text(w5="5", w30="5")
+    docs = [(1, text(w5="5", w30="6")), (2, text(w5="7", w30="7")), (3, text(w5="5", w12="x", w20="y", w30="5", w35="z")), (4, None)]
+    two = " ".join(["first 3 then", *plain[:20], "and 4 at the end", *plain[20:]])
+    docs += [(5, two.replace("3", "5").replace("4", "5")), (6, two.replace("4", "5").replace("3", "4"))]
+    # Every part without another value is shorter than RUN here.
+    often = " ".join(w if i % 6 else "8" for i, w in enumerate(plain))
+    docs += [(7, " ".join(w if i % 6 else str(50 + i) for i, w in enumerate(plain)))]
+    items = spark.createDataFrame([(1, item), (2, two), (3, often)], "item_id long, text string")
+    found = {(r._doc, r.item): r.run for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert (found[1, 1], found[2, 1], found[3, 1], found[5, 2], found[6, 2]) == (30, 40, 14, 23, 48)
+    assert not any(doc in (4, 7) for doc, _ in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_stretch_against_all_stretches(spark, seed):
+    rng, rows, want = np.random.default_rng(seed), [], []
+    for _ in range(60):
+        start, length = int(rng.integers(0, 5)), int(rng.integers(1, 25))
+        at = [i for i in range(start, start + length) if rng.random() < 0.4]
+        slots = [(i, str(rng.integers(0, 4)), str(rng.integers(0, 3))) for i in at]
+        whole = all((x[1] == y[1]) == (x[2] == y[2]) for x, y in itertools.combinations(slots, 2))
+        same = lambda lo, hi: all(a == b for i, a, b in slots if lo <= i < hi)
+        want.append(length if whole else max(
+            hi - lo for lo in range(start, start + length) for hi in range(lo, start + length + 1) if same(lo, hi)))
+        rows.append((len(rows), slots, start, start + length))
+    df = spark.createDataFrame(rows, "k int, slots array<struct<i int, a string, b string>>, start int, stop int")
+    got = df.select("k", templates._longest(F.col("slots"), F.col("start"), F.col("stop")).alias("n")).collect()
+    assert [r.n for r in sorted(got)] == want
+
+
 def test_near_copies_that_repeat_a_passage_share_bands(spark):
     rng = np.random.default_rng(5)
     missed = 0
