@@ -74,18 +74,25 @@ def _needed(sizes, threshold: float):
     return sizes * (threshold / (1 + threshold)) - 1e-6
 
 
-def classes(buckets: DataFrame, sets_of, threshold: float) -> DataFrame:
+def classes(buckets: DataFrame, sets_of, threshold: float, narrow: bool = True) -> DataFrame:
     """(id, root) of every item that is linked to another one; root is the smallest id of the class.
 
     `buckets` (id, bucket) may repeat rows. `sets_of` gets a table of the ids that share a bucket with
     another one and returns (id, shingles), one array without repeats per item. Items without a link
-    have no row. Empty tables give an empty table.
+    have no row. Empty tables give an empty table. Without `narrow`, the rounds compare the items of the
+    buckets themselves: for selective buckets of sets whose rarest shingles are still frequent.
     """
     shared = (buckets.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
               .where("_low <> _high").select("bucket"))
     ids = materialize(buckets.join(shared, "bucket", "left_semi").select("id").distinct())
     sets = None if is_empty(ids) else materialize(sets_of(ids))
-    rows = None if sets is None else materialize(fronts(sets, threshold))
+    rows = None
+    if sets is not None and narrow:
+        rows = materialize(fronts(sets, threshold))
+    elif sets is not None:
+        size = F.size("shingles")
+        rows = materialize(buckets.join(shared, "bucket", "left_semi").distinct().join(
+            sets.select("id", size.alias("left"), size.alias("n")), "id"))
     found, links, leading, going = None, None, LEADERS, rows is not None
     while going:
         placed = rows if found is None else rows.join(found, "id", "left")

@@ -131,6 +131,26 @@ def test_lines_against_all_pairs(spark, some):
     assert len(wrong) <= 0.01 * len(want), wrong
 
 
+def test_lines_link_by_characters(spark):
+    """One changed character in lines of words, of long words and of scripts without spaces; all pairs by brute force."""
+    rng = np.random.default_rng(3)
+    lines = []
+    for k, letters in enumerate(["abcdefghij", "abcdefghij", "漢字仮名交文日本語学", "กขคงจฉชซญฎ"] * 25):
+        size = int(rng.integers(12, 150))
+        line = "".join(rng.choice(list(letters), size))
+        if k % 4 == 0:
+            line = " ".join(line[i:i + 6] for i in range(0, size, 6))
+        at = int(rng.integers(0, len(line)))
+        lines += [line, line[:at] + "q" + line[at + 1:]]
+    sets = [frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4))) for x in lines]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if near(a, b)}
+    assert len(want) > 50 and any(b - a == 1 and len(lines[a]) > 24 and a % 8 >= 4 for a, b in want)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in fuzzy_lines.dedup_lines(docs).where("lines_dropped > 0").collect()}
+    assert got <= {b for _, b in want} and len(got) >= 0.98 * len(want)
+
+
 def test_repeats_against_brute_force(some, monkeypatch):
     for crowd in (2000, 1):
         monkeypatch.setattr(repeats, "CROWD", crowd)
