@@ -92,8 +92,8 @@ def test_signatures_estimate_probability_jaccard():
 
 
 def _line_sets(text):
-    words = text.split(" ")
-    return frozenset((w, *(words[i + 1:i + 2] or [None]), (words[i + 2][:3] if i + 2 < len(words) else None)) for i, w in enumerate(words))
+    """The 5-character shingles of a line."""
+    return frozenset(text[i:i + 5] for i in range(max(1, len(text) - 4)))
 
 
 def test_lines_against_all_pairs(spark, some):
