@@ -36,7 +36,7 @@ def compare(spark, con, name, query, sql, folder):
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} / {sorted(want.columns)}", took, len(got)
     for c in want.columns:  # a missing value turns whole numbers into floats on one side only
-        if got[c].dtype != want[c].dtype and "float" in (str(got[c].dtype), str(want[c].dtype)):
+        if got[c].dtype != want[c].dtype and "float64" in (str(got[c].dtype), str(want[c].dtype)):
             got[c], want[c] = got[c].astype(float), want[c].astype(float)
     a, b = rows(got), rows(want)
     if a != b:
