@@ -112,12 +112,45 @@ def test_communities_both_ways_agree(spark):
                 rows.append(("x", a, b, 1.0 if a // 8 == b // 8 else .2))
     edges = spark.createDataFrame(rows, "lineage string, left_id long, right_id long, weight double")
     members = spark.createDataFrame([(i, "x") for i in range(24)], "id long, lineage string")
-    small = states.communities(members, edges, 1.0, iterations=1, rounds=6)
-    large = states.communities(members, edges, 1.0, iterations=1, rounds=6, small_edges=0)
+    small = states.communities(members, edges, 1.0, iterations=1)
+    large = states.communities(members, edges, 1.0, iterations=1, small_edges=0)
     assert small.exceptAll(large).isEmpty()
     found = small.toPandas().set_index("node").community
     assert all(found[8 * g:8 * g + 7].nunique() == 1 for g in range(3)) and found.nunique() == 3
     assert states.modularity(small, edges).first()["modularity"] > .5
+    check = states.settled_check(large, edges, 1.0).first()
+    assert (check.n_members, check.n_unsettled, check.n_disconnected) == (24, 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_single_move_raises_modularity(seed):
+    """Random weighted graphs with loops: settled, connected, and at least as good as the planted groups."""
+    rng = np.random.default_rng(seed)
+    n, pairs = 120, {}
+    for _ in range(700):
+        a, b = sorted(int(x) for x in rng.integers(0, n, 2))
+        if a % 6 == b % 6 or rng.random() < .15:
+            pairs[a, b] = pairs.get((a, b), 0) + float(rng.random())
+    full = np.zeros((n, n))
+    for (a, b), w in pairs.items():
+        full[a, b] += w
+        full[b, a] += w
+    a, b = np.nonzero(full)
+    got = states._lineage_communities(np.arange(n), a, b, full[a, b], 1.0, 2, seed)
+    k, m2 = full.sum(axis=1), full.sum()
+
+    def value(c):
+        same = c[:, None] == c[None, :]
+        return ((full - np.outer(k, k) / m2) * same).sum()
+
+    for v in range(n):
+        for c in {*got.tolist(), n + v}:
+            other = got.copy()
+            other[v] = c
+            assert value(other) <= value(got) + 1e-6
+    inside = got[a] == got[b]
+    assert (states._parts(n, a[inside], b[inside]) == got).all()
+    assert value(got) >= value(np.arange(n) % 6) - 1e-9
 
 
 def test_lineage_of_two_is_refused(spark):
