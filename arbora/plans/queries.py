@@ -832,6 +832,12 @@ def state_modularity(spark, folder):
     return states.modularity(community_table(spark, folder), fuzzy_edges(spark, folder))
 
 
+@query("lineage:s n_members:i n_unsettled:i n_disconnected:i")
+def state_optimality(spark, folder):
+    """No single move raises modularity and no state falls apart."""
+    return states.settled_check(community_table(spark, folder), fuzzy_edges(spark, folder), 1.0)
+
+
 @query("lineage:s modularity:d")
 def label_modularity(spark, folder):
     pairs = neighbors.undirected(node_neighbours(spark, folder)).withColumnRenamed("cosine_similarity", "weight")
@@ -879,15 +885,41 @@ def transition_matrix(spark, folder):
     return diffusion.transition_matrix(diffusion.gaussian_graph(_staged_vectors(spark, folder), 15))
 
 
+@stage_table
+def diffusion_matrix(spark, folder):
+    return diffusion.transition_matrix(diffusion.gaussian_graph(_staged_vectors(spark, folder), 15))
+
+
+def _diffused(spark, folder):
+    return diffusion.diffusion_map(_staged_vectors(spark, folder), 8, 15)
+
+
+@stage_table
+def diffusion_coordinates(spark, folder):
+    points, values = _diffused(spark, folder)
+    return points.join(F.broadcast(values), "component")
+
+
 @query("id:i component:i value:d")
 def diffusion_map(spark, folder):
-    return diffusion.diffusion_map(_staged_vectors(spark, folder), 8, 15)[0]
+    return diffusion_coordinates(spark, folder).drop("eigenvalue")
+
+
+@query("component:i n_points:i is_unit:i is_eigenvector:i is_orthogonal:i")
+def diffusion_residuals(spark, folder):
+    """Every component is a unit vector, an eigenvector and orthogonal to the others."""
+    found = diffusion_coordinates(spark, folder)
+    values = found.groupBy("component").agg(F.first("eigenvalue").alias("eigenvalue"))
+    checked = diffusion.residual_check(diffusion_matrix(spark, folder), found.drop("eigenvalue"), values)
+    yes = lambda c: c.cast("int")
+    return checked.select("component", "n_points", yes(F.abs(F.col("size") - 1) < 1e-9).alias("is_unit"),
+                          yes(F.col("residual") < 1e-5).alias("is_eigenvector"), yes(F.col("overlap") < 1e-8).alias("is_orthogonal"))
 
 
 @query("component:s component_index:i eigenvalue_order:i stage_pearson:d stage_spearman:d abs_stage_pearson:d "
        "abs_stage_spearman:d")
 def diffusion_stage_correlations(spark, folder):
-    points = diffusion.diffusion_map(_staged_vectors(spark, folder), 8, 15)[0]
+    points = diffusion_coordinates(spark, folder)
     wide = points.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("component", "value"))).alias("c"))
     staged = _staged_vectors(spark, folder).select("id", "stage")
     return correlation.component_correlations(

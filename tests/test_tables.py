@@ -196,16 +196,33 @@ def test_stream_equals_batch(spark, tmp_path, data):
         export.node_cells(cells, mapping, [99])
 
 
-def test_diffusion_map_both_ways(spark):
+def test_diffusion_map_against_dense(spark):
     rng = np.random.default_rng(6)
-    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(24), "embedding": rng.standard_normal((24, 4)).tolist()}))
-    small, values = diffusion.diffusion_map(points, 3, 8)
-    large, values2 = diffusion.diffusion_map(points, 3, 8, small_points=0)
-    a, b = (v.orderBy("component").toPandas().eigenvalue.to_numpy() for v in (values, values2))
-    assert a[0] == pytest.approx(1.0) and np.allclose(a, b, atol=1e-6)
-    one, two = (d.toPandas().pivot(index="id", columns="component", values="value").to_numpy() for d in (small, large))
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "embedding": rng.standard_normal((60, 4)).tolist()}))
+    graph = diffusion.transition_matrix(diffusion.gaussian_graph(points, 8)).toPandas()
+    full = np.zeros((60, 60))
+    full[graph.a, graph.b] = graph.t
+    values, vectors = np.linalg.eigh(full)
+    found, got = diffusion.diffusion_map(points, 3, 8)
+    theta = got.orderBy("component").toPandas().eigenvalue.to_numpy()
+    assert theta[0] == pytest.approx(1.0) and np.allclose(theta, values[::-1][:3], atol=1e-8)
+    one = found.toPandas().pivot(index="id", columns="component", values="value").to_numpy()
     for c in range(3):
-        assert abs(abs(one[:, c] @ two[:, c]) - 1) < 1e-4
+        assert abs(abs(one[:, c] @ vectors[:, -1 - c]) - 1) < 1e-5
+
+
+def test_diffusion_map_of_three_parts(spark):
+    """Eigenvalue one occurs as often as the graph has parts; points fewer than the block is wide are solved whole."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([c + .01 * rng.standard_normal((12, 6)) for c in 3 * np.eye(6)[:3]])
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(36), "embedding": x.tolist()}))
+    found, values = diffusion.diffusion_map(points, 5, 6)
+    theta = values.orderBy("component").toPandas().eigenvalue.to_numpy()
+    assert np.allclose(theta[:3], 1.0, atol=1e-9) and theta[3] < 0.999
+    checked = diffusion.residual_check(diffusion.transition_matrix(diffusion.gaussian_graph(points, 6)), found, values).toPandas()
+    assert (checked.residual < 1e-5).all() and (checked.overlap < 1e-8).all() and np.allclose(checked["size"], 1)
+    few = diffusion.diffusion_map(points.where("id < 8"), 3, 6)[1].orderBy("component").toPandas().eigenvalue
+    assert few[0] == pytest.approx(1.0) and len(few) == 3
 
 
 def test_display_layout(spark):
