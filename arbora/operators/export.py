@@ -24,7 +24,7 @@ def check_mapping(assignments: DataFrame, sources: DataFrame) -> None:
 
 def node_cells(cells: DataFrame, mapping: DataFrame, node_ids=None) -> DataFrame:
     """Member cells of all contracted nodes, or of `node_ids`."""
-    names = [c for c in ("cell_id",) if c in cells.columns]
+    names = [c for c in ("cell_id",) if c in cells.columns]  # grouped cells may carry no names
     chosen = mapping.where("contracted_node_id >= 0")
     if node_ids is not None:
         wanted = chosen.sparkSession.createDataFrame([(int(i),) for i in node_ids], "contracted_node_id long")

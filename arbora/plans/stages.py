@@ -52,6 +52,14 @@ class TreeOptions:
     temperature: float = 0.0
     fate_threshold: float = 1e-4
 
+    def check(self) -> None:
+        if self.k < 1 or not 0 <= self.root_window < float("inf"):
+            raise ContractError("k must be positive and the root window finite and not negative")
+        if not 0 < self.mutual_bonus < float("inf") or not 0 <= self.temperature < float("inf"):
+            raise ContractError("the mutual bonus is positive, the temperature not negative, both finite")
+        if not 0 <= self.fate_threshold <= 1:
+            raise ContractError("the fate threshold lies in [0, 1]")
+
 
 @dataclass(frozen=True)
 class ContractOptions:
@@ -152,6 +160,7 @@ def find_nodes(table: DataFrame, labels: DataFrame | None = None,
 def build_tree(nodes: DataFrame, options: TreeOptions = TreeOptions(),
                stage_column: str = "cell_weighted_mean_stage") -> Tables:
     """Nodes (node_id, lineage, n_cells, n_metacells, `stage_column`, embedding) to the rooted tree."""
+    options.check()
     require_columns(nodes, {"node_id", "lineage", "n_cells", stage_column, "embedding"}, "nodes")
     if stage_column != "stage":
         nodes = nodes.withColumn("stage", F.col(stage_column))

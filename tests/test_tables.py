@@ -185,7 +185,7 @@ def test_stream_equals_batch(spark, tmp_path, data):
     assigned = cells.select("microcell_id").distinct().withColumn("node_id", F.col("microcell_id") % 4 - 1)
     sources = spark.createDataFrame([(0, 7), (1, 7), (2, 8)], "source_node_id long, contracted_node_id long")
     mapping = export.microcell_mapping(assigned, sources)
-    export_stream(cell_stream(spark, str(tmp_path / "cells"), cells.schema, 2), mapping, str(tmp_path / "out"), "t")
+    export_stream(cell_stream(spark, str(tmp_path / "cells"), cells.schema, 2), mapping, str(tmp_path / "out"))
     batch = export.node_cells(cells, mapping)
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert streamed.count() == batch.count() > 0 and streamed.exceptAll(batch).isEmpty()
