@@ -64,6 +64,8 @@ def evaluate_purity(groups: DataFrame, comp: DataFrame, group: str = "microcell_
     require_columns(comp, {group, "celltype", "cell_count"}, "composition")
     groups = groups.select(group, "n_cells", "lineage")
     if check:
+        # Counted tables are read several times by the checks, what they were counted from only once.
+        groups, comp = materialize(groups), materialize(comp.select(group, "celltype", "cell_count"))
         require_unique(groups, [group], "groups")
         require_zero(groups, n_cells_not_positive=~(F.col("n_cells") > 0) |
                      (F.col("n_cells") != F.floor("n_cells")))

@@ -19,7 +19,7 @@ MICRO = """micro AS (SELECT microcell_id, lineage, state_within_lineage, state_i
  avg(stage) AS mean_stage FROM cells GROUP BY ALL)"""
 
 LINES = """lines AS (SELECT l_partkey AS microcell_id, l_returnflag AS lineage, l_quantity AS stage,
- l_linestatus AS celltype, l_extendedprice AS price FROM lineitem)"""
+ l_linestatus AS celltype, l_extendedprice AS price, l_orderkey AS order_id, l_linenumber AS line FROM lineitem)"""
 
 
 def composition(name: str, source: str, group: str, label: str = "celltype", amount: str = "count(*)") -> str:
@@ -39,7 +39,8 @@ def strata(source: str, width: float, origin: float) -> str:
 
 # Purity evaluation of the events: labels of early cells are missing, two labels count as unknown.
 PURITY = """labels AS (SELECT microcell_id, trim(celltype) AS celltype, count(*) AS cell_count,
- lower(trim(celltype)) NOT IN ('error', 'unassigned', '') AS known FROM cells WHERE stage >= 5 GROUP BY ALL),
+ lower(trim(celltype)) NOT IN ('error', 'unassigned', '') AS known FROM cells
+ WHERE cell_index * 2 IN (SELECT o_orderkey FROM orders) GROUP BY ALL),
  sizes AS (SELECT microcell_id, lineage, count(*) AS n_cells FROM cells GROUP BY ALL),
  matched AS (SELECT microcell_id, sum(cell_count) AS matched_cells, max(cell_count) AS top_any FROM labels GROUP BY ALL),
  known AS (SELECT *, cell_count / sum(cell_count) OVER (PARTITION BY microcell_id) AS p,
@@ -593,8 +594,7 @@ def _build() -> dict[str, str]:
  result AS (SELECT id AS node_id, position, ln(1 + exp(sum(h * w))) AS value FROM hidden JOIN second_w USING (celltype) GROUP BY ALL)"""], "result")
 
     add("sampled_cells", [CELLS, f"""result AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY microcell_id ORDER BY {SAMPLE_KEY.format('cell_index')}, cell_index) <= 20)"""], "result")
-    add("sampled_lines_per_lineage", [LINES, f"""keyed AS (SELECT DISTINCT lineage, microcell_id, price, microcell_id * 1000000007 + (price * 100)::DOUBLE AS approx,
- microcell_id * 1000000007 + trunc(price * 100)::BIGINT AS key FROM lines),
+    add("sampled_lines_per_lineage", [LINES, f"""keyed AS (SELECT *, order_id * 10 + line AS key FROM lines),
  result AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY lineage ORDER BY {SAMPLE_KEY.format('key')}, key) <= 50)"""], "result")
     add("simple_sample", [CELLS, f"""result AS (SELECT cell_index FROM cells ORDER BY {SAMPLE_KEY.format('cell_index')}, cell_index LIMIT 500)"""], "result")
     mapped = [*fixed, FILTERED, MAPPING]
@@ -615,7 +615,7 @@ def _build() -> dict[str, str]:
  b AS (SELECT count(*) AS n, count(DISTINCT microcell_id) AS d, min(microcell_id) AS lo, max(microcell_id) AS hi, sum(n) AS held FROM m),
  result AS (SELECT b.d - b.n AS repeated_ids, abs(b.lo) + abs(b.hi - b.n + 1) AS gaps_in_ids, b.held - a.cells AS cells_not_accounted,
  abs(a.used - b.n) + abs(a.lo) + abs(a.hi - b.n + 1) AS assignment_span_error FROM a, b)"""], "result")
-    add("saved_coordinate_check", [CELLS, MICRO, """saved AS (SELECT microcell_id, count(*) AS n, max(stage) AS m FROM cells WHERE stage >= 1 GROUP BY ALL),
+    add("saved_coordinate_check", [CELLS, MICRO, """saved AS (SELECT microcell_id, count(*) AS n, max(stage) AS m FROM cells GROUP BY ALL),
  j AS (SELECT s.microcell_id AS l, t.microcell_id AS r, s.n, t.n_cells, s.m, round(t.mean_stage, 1) AS ms FROM saved s FULL JOIN micro t ON s.microcell_id = t.microcell_id),
  result AS (SELECT count_if(l IS NULL OR r IS NULL) AS unmatched_rows, count_if(n IS DISTINCT FROM n_cells) AS n_cells_differs,
  count_if(m IS DISTINCT FROM ms) AS mean_stage_differs FROM j)"""], "result")
@@ -627,9 +627,8 @@ def _build() -> dict[str, str]:
     add("mixed_labels", [CELLS, composition("comp", "cells", "microcell_id"),
                          "result AS (SELECT microcell_id, CASE WHEN fraction < 0.35 THEN 'Mixed' ELSE celltype END AS label FROM comp WHERE rank = 1)"], "result")
     add("clipped_stages", [CELLS, MICRO, "result AS (SELECT microcell_id, least(60.0, greatest(40.0, mean_stage)) AS clipped_stage FROM micro)"], "result")
-    add("file_stems", ["""named AS (SELECT DISTINCT p_name, p_brand, p_type FROM part),
- joined_n AS (SELECT p_name || ' / ' || p_brand || '#' || p_type AS p_name FROM named),
- result AS (SELECT p_name, lower(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS stem FROM joined_n)"""], "result")
+    add("file_stems", ["""joined_n AS (SELECT p_partkey, p_name || ' / ' || p_brand || '#' || p_type AS p_name FROM part),
+ result AS (SELECT p_partkey, p_name, lower(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS stem FROM joined_n)"""], "result")
     return sql
 
 

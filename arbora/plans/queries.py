@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.core import materialize, ship
+from arbora.core import join_on, materialize, ship
 from arbora.functions import scalars
 from arbora.functions.vectors import dimension, group_means, subset_dimensions, weighted_dimensions
 from arbora.operators import (composition, contract, correlation, decoder, diagnostics, diffusion, display,
@@ -130,10 +130,12 @@ UNKNOWN = ("Error", " unassigned ")
 
 @stage_table
 def event_purity(spark, folder):
-    # Early cells have no label, so matched counts stay below group sizes.
+    # Cells have a label if there is an order of twice their number, so matched counts stay below group sizes.
     cells = views.cells_from_events(spark, folder)
     groups = cells.groupBy("microcell_id", "lineage").agg(F.count("*").alias("n_cells"))
-    comp = composition.composition(cells.where("stage >= 5"), "microcell_id")
+    noted = views.table(spark, folder, "orders").select((F.col("o_orderkey")).alias("_order"))
+    labelled = cells.join(noted, F.col("cell_index") * 2 == F.col("_order"), "left_semi")
+    comp = composition.composition(labelled, "microcell_id")
     return composition.evaluate_purity(groups, comp, unknown=UNKNOWN)
 
 
@@ -953,13 +955,14 @@ def decoded_nodes(spark, folder):
     by_label = group_means(nodes, ["celltype"], "embedding")
     first = number_rows(by_label, [], ["celltype"], "position").select(
         F.lit(0).alias("layer"), F.lit("weight").alias("kind"), "position", F.col("embedding").alias("values"))
-    profile = nodes.groupBy(F.floor(F.col("stage") / 5).alias("decade")).pivot("celltype", [f"ct{i}" for i in range(10)]
-        ).agg(F.avg("stage") / 10)
+    # The hidden layer has one place per label that there is, in the order of the labels.
+    cells = nodes.groupBy(F.floor(F.col("stage") / 5).alias("decade"), "celltype").agg((F.avg("stage") / 10).alias("w"))
+    grid = nodes.select(F.floor(F.col("stage") / 5).alias("decade")).distinct().crossJoin(F.broadcast(by_label.select("celltype")))
+    profile = join_on(grid, cells, ["decade", "celltype"], "left").groupBy("decade").agg(F.sort_array(F.collect_list(
+        F.struct("celltype", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("v"))
     second = number_rows(profile, [], ["decade"], "position").select(
-        F.lit(1).alias("layer"), F.lit("weight").alias("kind"), "position",
-        F.array(*[F.coalesce(f"ct{i}", F.lit(0.0)) for i in range(10)]).alias("values"))
-    layers = decoder.load_layers(first.unionByName(second))
-    done = decoder.decode(nodes.select("node_id", "embedding"), layers)
+        F.lit(1).alias("layer"), F.lit("weight").alias("kind"), "position", F.col("v.w").alias("values"))
+    done = decoder.decode(nodes.select("node_id", "embedding"), first.unionByName(second))
     return done.select("node_id", F.posexplode("decoded").alias("position", "value"))
 
 
@@ -970,11 +973,10 @@ def sampled_cells(spark, folder):
     return sampling.capped_sample(views.cells_from_events(spark, folder), 20, "microcell_id")
 
 
-@query("microcell_id:i lineage:s price:d")
+@query("key:i microcell_id:i lineage:s price:d")
 def sampled_lines_per_lineage(spark, folder):
-    lines = views.cells_from_lineitem(spark, folder).withColumn(
-        "key", F.col("microcell_id") * 1_000_000_007 + (F.col("price") * 100).cast("long"))
-    return sampling.capped_sample(lines.dropDuplicates(["lineage", "key"]), 50, "lineage", "key")
+    lines = views.cells_from_lineitem(spark, folder).withColumn("key", F.col("order_id") * 10 + F.col("line"))
+    return sampling.capped_sample(lines, 50, "lineage", "key")
 
 
 @query("cell_index:i")
@@ -1033,7 +1035,7 @@ def run_table_check(spark, folder):
 @query("unmatched_rows:i n_cells_differs:i mean_stage_differs:i")
 def saved_coordinate_check(spark, folder):
     micro = views.microcells_from_events(spark, folder)
-    cells = views.cells_from_events(spark, folder).where("stage >= 1")
+    cells = views.cells_from_events(spark, folder)
     saved = cells.groupBy("microcell_id").agg(F.count("*").alias("n_cells"), F.max("stage").alias("mean_stage"))
     return readers.coordinate_mismatches(saved, micro.withColumn("mean_stage", F.round("mean_stage", 1)))
 
@@ -1073,8 +1075,8 @@ def clipped_stages(spark, folder):
         "microcell_id", scalars.clipped(F.col("mean_stage"), 40.0, 60.0).alias("clipped_stage"))
 
 
-@query("p_name:s stem:s")
+@query("p_partkey:i p_name:s stem:s")
 def file_stems(spark, folder):
-    return views.table(spark, folder, "part").select("p_name", "p_brand", "p_type").distinct().select(
-        F.concat("p_name", F.lit(" / "), "p_brand", F.lit("#"), "p_type").alias("p_name")).select(
-        "p_name", scalars.file_stem(F.col("p_name")).alias("stem"))
+    return views.table(spark, folder, "part").select(
+        "p_partkey", F.concat("p_name", F.lit(" / "), "p_brand", F.lit("#"), "p_type").alias("p_name")).select(
+        "p_partkey", "p_name", scalars.file_stem(F.col("p_name")).alias("stem"))

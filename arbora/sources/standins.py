@@ -64,4 +64,4 @@ def cells_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("microcell_id"), F.col("l_returnflag").alias("lineage"),
         F.col("l_quantity").alias("stage"), F.col("l_linestatus").alias("celltype"),
-        F.col("l_extendedprice").alias("price"))
+        F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"))

@@ -267,11 +267,17 @@ def test_decoder(spark):
     rng = np.random.default_rng(7)
     w1, b1, w2 = rng.standard_normal((5, 3)), rng.standard_normal(5), rng.standard_normal((4, 5))
     rows = [(0, "weight", i, w1[i].tolist()) for i in range(5)] + [(0, "bias", 0, b1.tolist())] + [(1, "weight", i, w2[i].tolist()) for i in range(4)]
-    layers = decoder.load_layers(spark.createDataFrame(rows, "layer int, kind string, position int, values array<double>"))
-    assert decoder.decoder_dimensions(layers) == (3, 4)
+    layers = spark.createDataFrame(rows, "layer int, kind string, position int, values array<double>")
+    assert decoder.layer_widths(layers) == [(0, 3, 5), (1, 5, 4)]
     x = rng.standard_normal((6, 3))
     nodes = spark.createDataFrame(pd.DataFrame({"node_id": np.arange(6), "embedding": x.tolist()}))
     got = np.stack(decoder.decode(nodes, layers).orderBy("node_id").toPandas().decoded)
-    assert np.allclose(got, np.log1p(np.exp(np.maximum(x @ w1.T + b1, 0) @ w2.T)))
+    want = np.log1p(np.exp(np.maximum(x @ w1.T + b1, 0) @ w2.T))
+    assert np.allclose(got, want)
+    blocked = decoder.decode(nodes, layers, block_numbers=6, block_rows=2).orderBy("node_id").toPandas().decoded
+    assert np.allclose(np.stack(blocked), want)
+    for bad in (layers.where("not (layer = 0 and position = 1)"), layers.where("layer = 1 or position < 4 and kind = 'weight'"), layers.limit(0)):
+        with pytest.raises(ContractError):
+            decoder.decode(nodes, bad)
     long = decoder.named_expression(decoder.decode(nodes, layers), readers.read_gene_names(spark, None, 4))
     assert long.count() == 24
