@@ -3,7 +3,8 @@
 A plain window over one group sorts that group in a single task, and `percentile` keeps its distinct
 values in one buffer. Both are fine for small inputs, which is checked first. Beyond that, rows are
 range-partitioned by (group, order), so that a hot group spreads over many tasks; each slice is
-numbered locally and a small table of slice totals supplies the offsets.
+numbered locally and a small table of slice totals supplies the offsets. Quantiles need no order at all:
+they are selected by refined histograms.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbora.core import SMALL_ROWS, at_most, join_on, materialize, shuffle_partitions
+from arbora.core import SMALL_ROWS, at_most, is_empty, join_on, materialize, shuffle_partitions
+
+BINS = 1024  # bins of one pass of the quantile selection
 
 
 def _columns(keys) -> list[Column]:
@@ -89,29 +92,69 @@ def quantiles(df: DataFrame, groups, value: str, wanted: dict[str, float],
               limit: int = SMALL_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per group; `wanted` maps column name to probability.
 
-    Null and NaN values are left out, and a group without any other value gives no row.
+    Groups of at most `limit` rows are buffered; in larger ones the values are selected by histograms
+    that close in on them, so rows are neither sorted nor gathered. Null and NaN values are left out, and a
+    group without any other value gives no row.
     """
     groups = list(groups)
     plain = (df.select(*groups, F.col(value).cast("double").alias("_value"))
              .where(F.col("_value").isNotNull() & ~F.isnan("_value")))
-    if at_most(plain, limit):
-        return plain.groupBy(*groups).agg(
+
+    def buffered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*groups).agg(
             *[F.percentile("_value", F.lit(p)).alias(n) for n, p in wanted.items()],
             F.count("*").alias("_n")).where("_n > 0").drop("_n")
-    rows = _cumulated_values(plain, groups, "_value")
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_count"))
-        return F.max(F.when(hit, F.col("_value")))
-
-    picks, results = [], []
-    for name, p in wanted.items():
-        place = F.lit(p) * (F.col("_total") - 1)
-        picks += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"),
-                  F.max(place - F.floor(place)).alias(f"_part_{name}")]
-        lo, hi, part = (F.col(f"_{x}_{name}") for x in ("lo", "hi", "part"))
-        results.append((lo + (hi - lo) * part).alias(name))
-    return rows.groupBy(*groups).agg(*picks).select(*groups, *results)
+
+    if at_most(plain, limit):
+        return buffered(plain)
+    sizes = plain.groupBy(*groups).agg(F.count("*").alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    large = materialize(sizes.where(F.col("_n") > limit))
+    if is_empty(large):
+        return buffered(plain)
+    found = _selected(plain, large, groups, wanted)
+    if not groups:
+        return found
+    return found.unionByName(buffered(join_on(plain, large.select(*groups), groups, "left_anti")))
+
+
+def _selected(plain: DataFrame, large: DataFrame, groups, wanted: dict[str, float]) -> DataFrame:
+    """Quantiles of the groups in `large` (groups, _n, _low, _high).
+
+    Every wanted rank has a range of values that holds it. A pass counts the rows of each range in `BINS` bins
+    (partial aggregates of bounded size) with the least and greatest value of every bin, and the
+    rank's range becomes that of its bin. Both ends of a range are bins of their own, so every pass narrows it.
+    """
+    place = {n: F.lit(p) * (F.col("_n") - 1) for n, p in wanted.items()}
+    ranks = [f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]
+    targets = materialize(large.select(*groups, "_low", "_high", F.explode(F.array_distinct(F.array(*ranks))).alias("_rank"),
+                                       F.lit(0).cast("long").alias("_skip")))
+    v, low, high = F.col("_value"), F.col("_low"), F.col("_high")
+    inner = F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * BINS)  # halves, so that no difference overflows
+    steps = F.when(v == low, -1).when(v == high, BINS).when((high == float("inf")) | (low == float("-inf")), 0).otherwise(
+        F.least(inner, F.lit(BINS - 1))).cast("int")
+    done = targets.where("_low = _high")
+    going = materialize(targets.where("_low < _high"))
+    while not is_empty(going):
+        ranges = going.select(*groups, "_low", "_high").distinct()
+        held = join_on(plain, ranges, groups) if groups else plain.crossJoin(F.broadcast(ranges))
+        key = [*groups, "_low", "_high"]
+        counted = held.where((v >= low) & (v <= high)).withColumn("_bin", steps).groupBy(*key, "_bin").agg(
+            F.count("*").alias("_c"), F.min("_value").alias("_from"), F.max("_value").alias("_to"))
+        upto = F.sum("_c").over(Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counted = counted.withColumn("_upto", upto)
+        hit = (F.col("_rank") - F.col("_skip") < F.col("_upto")) & (F.col("_rank") - F.col("_skip") >= F.col("_upto") - F.col("_c"))
+        narrowed = materialize(join_on(going, counted, key).where(hit).select(
+            *groups, F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_rank",
+            (F.col("_skip") + F.col("_upto") - F.col("_c")).alias("_skip")))
+        done = done.unionByName(narrowed.where("_low = _high"))
+        going = materialize(narrowed.where("_low < _high"))
+    at = done.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_rank", F.col("_low")))).alias("_at"))
+    both = join_on(large, at, groups) if groups else large.crossJoin(at)
+    results = []
+    for name, x in place.items():
+        lo, hi = (F.element_at("_at", f(x).cast("long")) for f in (F.floor, F.ceil))
+        results.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (x - F.floor(x))).alias(name))
+    return both.select(*groups, *results)
 
 
 def average_ranks(df: DataFrame, groups, value: str, name: str,

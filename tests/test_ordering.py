@@ -35,7 +35,7 @@ def test_running_sum(frame, limit):
     assert (got == want).all()
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
+@pytest.mark.parametrize("limit", [0, 200, 10**6])
 def test_quantiles(frame, limit):
     pdf, df = frame
     wanted = {"a": 0.1, "b": 0.5, "c": 0.95, "d": 1.0}
@@ -47,6 +47,24 @@ def test_quantiles(frame, limit):
     assert one == pytest.approx(np.quantile(pdf.v, 0.3))
 
 
+def test_quantiles_of_uneven_values(spark):
+    """Values over many powers of ten, infinite ones, a null group, and no range exchange in the plan."""
+    rng = np.random.default_rng(1)
+    v = np.r_[10.0 ** rng.uniform(-12, 12, 400) * rng.choice([-1, 1], 400), [np.inf, -np.inf, 1.7e308, -1.7e308], np.full(50, 0.25)]
+    rows = [(g, float(x)) for g in ("a", None) for x in v] + [("b", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
+    result = quantiles(df, ["g"], "v", wanted, 10)
+    got = {r.g: r for r in result.collect()}
+    s, n = np.sort(v), len(v)
+    for name, p in wanted.items():
+        at = p * (n - 1)
+        lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
+        want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+        assert got["a"][name] == got[None][name] == pytest.approx(want, rel=1e-12)
+    assert got["b"].mid == 3.0 and "rangepartitioning" not in result._jdf.queryExecution().toString()
+
+
 def test_quantiles_skip_missing(spark):
     df = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, None), (1, 10.0), (1, 2.0), (2, None)], "g int, v double")
     for limit in (0, 100):
