@@ -2,8 +2,8 @@
 
 A capture is three records: a request, a response (or a revisit, when an equal payload is stored
 elsewhere) and metadata; request and metadata name the response in WARC-Concurrent-To. Archives are
-written by Spark's text writer with the record separator as its line separator, and read back the
-same way, split at the version line, so files of any size are read in parallel. A payload that
+written by Spark's text writer with the record separator as its line separator, one gzip file per task, and read back the
+same way, split at the version line, one task per file. A payload that
 contains the version line itself is sent in chunks (Transfer-Encoding: chunked) cut inside that line,
 so the separator never occurs inside a record. Assembly joins the records through the concurrent-to
 identifiers; nothing relies on their order.
@@ -85,7 +85,7 @@ def write_archive(stored: DataFrame, path: str) -> None:
                        {"WARC-Concurrent-To": response, "Content-Type": F.lit("application/warc-fields")}, note)
     # A random id per row is fixed by the written file: it is never computed again.
     named = stored.withColumn("rid", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
-    named.select(F.explode(F.array(request, main, metadata)).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    named.select(F.explode(F.array(request, main, metadata)).alias("value")).write.option("lineSep", "\r\n\r\n").text(path, compression="gzip")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -141,14 +141,16 @@ def op7_warc(spark, folder):
     """Write every page, read the archives back and tell what each capture holds."""
     path = f"{shared_folder(spark)}/arbora-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     write_archive(captures(table(spark, folder, "pages")), path)
+    # Blocks become digest and size before records meet, so no payload crosses that shuffle.
+    made = F.when(F.col("type") == "response", _payload(F.col("block")))
+    found = records(spark, path).withColumn("block", F.struct(
+        F.sha1(made.cast("binary")).alias("digest"), F.octet_length(made).alias("bytes")))
     f = F.col("response.fields")
-    made = _payload(F.col("response.block"))
-    whole = assemble(records(spark, path)).where("request is not null and metadata is not null").select(
+    whole = assemble(found).where("request is not null and metadata is not null").select(
         F.col("response.type").alias("record_type"), f["X-Page"].alias("page"), f["X-Refers-To-Page"].alias("refers"),
-        f["WARC-Payload-Digest"].alias("named"), f["X-Payload-Length"].alias("size"), made.alias("payload"))
-    stored = F.col("record_type") == "response"
-    digest = F.when(stored, F.sha1(F.col("payload").cast("binary"))).otherwise(F.substring("named", 6, 40))
-    size = F.when(stored, F.octet_length("payload")).otherwise(F.col("size").cast("int"))
+        f["WARC-Payload-Digest"].alias("named"), f["X-Payload-Length"].alias("size"), F.col("response.block").alias("made"))
+    digest = F.coalesce("made.digest", F.substring("named", 6, 40))
+    size = F.coalesce("made.bytes", F.col("size").cast("int"))
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
     return materialize(whole.select(number("page").alias("page_id"), size.cast("long").alias("payload_bytes"),
                                     digest.alias("payload_digest"), "record_type", number("refers").alias("refers_to")))
