@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arbora.core import is_empty, materialize
+from arbora.llm.storage import stored
 from arbora.operators.components import connected
 
 LEFTOVER = 256  # pairs per row that may be looked at at once
@@ -74,25 +75,39 @@ def _needed(sizes, threshold: float):
     return sizes * (threshold / (1 + threshold)) - 1e-6
 
 
-def classes(buckets: DataFrame, sets_of, threshold: float, narrow: bool = True) -> DataFrame:
+def _shared_rows(buckets: DataFrame) -> DataFrame:
+    """The rows (id, bucket) of buckets that hold different ids; both sides of the join read one shuffle."""
+    dealt = buckets.repartition("bucket")
+    shared = (dealt.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+              .where("_low <> _high").select("bucket"))
+    return dealt.join(shared, "bucket", "left_semi")
+
+
+def classes(buckets: DataFrame, sets_of, threshold: float, similar=None) -> DataFrame:
     """(id, root) of every item that is linked to another one; root is the smallest id of the class.
 
     `buckets` (id, bucket) may repeat rows. `sets_of` gets a table of the ids that share a bucket with
     another one and returns (id, shingles), one array without repeats per item. Items without a link
-    have no row. Empty tables give an empty table. Without `narrow`, the rounds compare the items of the
-    buckets themselves: for selective buckets of sets whose rarest shingles are still frequent.
+    have no row. Empty tables give an empty table. With `similar` (pairs, items ->
+    pairs that are linked), `sets_of` may return any table of the items, and the rounds compare the items of
+    the buckets themselves: for selective buckets of sets whose rarest shingles are still frequent.
     """
-    shared = (buckets.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-              .where("_low <> _high").select("bucket"))
-    ids = materialize(buckets.join(shared, "bucket", "left_semi").select("id").distinct())
-    sets = None if is_empty(ids) else materialize(sets_of(ids))
     rows = None
-    if sets is not None and narrow:
-        rows = materialize(fronts(sets, threshold))
-    elif sets is not None:
-        size = F.size("shingles")
-        rows = materialize(buckets.join(shared, "bucket", "left_semi").distinct().join(
-            sets.select("id", size.alias("left"), size.alias("n")), "id"))
+    if similar is None:
+        shared = (buckets.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+                  .where("_low <> _high").select("bucket"))
+        ids = materialize(buckets.join(shared, "bucket", "left_semi").select("id").distinct())
+        sets = None if is_empty(ids) else materialize(sets_of(ids))
+        similar = lambda pairs, held: similar_pairs(pairs, held, threshold)
+        if sets is not None:
+            rows = materialize(fronts(sets, threshold))
+    else:
+        # Sizes are not known before the comparison, so the bound on the overlap excludes nothing.
+        held = stored(_shared_rows(buckets))
+        ids = materialize(held.select("id").distinct())
+        sets = None if is_empty(ids) else sets_of(ids)
+        if sets is not None:
+            rows = held.withColumns({"left": F.lit(1), "n": F.lit(1)})
     found, links, leading, going = None, None, LEADERS, rows is not None
     while going:
         placed = rows if found is None else rows.join(found, "id", "left")
@@ -123,7 +138,7 @@ def classes(buckets: DataFrame, sets_of, threshold: float, narrow: bool = True)
             leading *= 8
         pairs = (placed.join(other, (F.col("bucket") == F.col("_b")) & reach)
                  .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        new = materialize(similar_pairs(pairs, sets, threshold))
+        new = materialize(similar(pairs, sets))
         if not is_empty(new):
             links = new if links is None else links.unionByName(new)
             found = connected(links).select(F.col("node").alias("id"), "root")
