@@ -76,11 +76,10 @@ def _needed(sizes, threshold: float):
 
 
 def _shared_rows(buckets: DataFrame) -> DataFrame:
-    """The rows (id, bucket) of buckets that hold different ids; both sides of the join read one shuffle."""
-    dealt = buckets.repartition("bucket")
-    shared = (dealt.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-              .where("_low <> _high").select("bucket"))
-    return dealt.join(shared, "bucket", "left_semi")
+    """The rows (id, bucket) of buckets that hold different ids, by one shuffle of the buckets."""
+    group = Window.partitionBy("bucket")
+    return (buckets.withColumns({"_low": F.min("id").over(group), "_high": F.max("id").over(group)})
+            .where("_low <> _high").select("id", "bucket").distinct())
 
 
 def classes(buckets: DataFrame, sets_of, threshold: float, similar=None) -> DataFrame:
