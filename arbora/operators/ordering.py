@@ -75,6 +75,24 @@ def running_sum(df: DataFrame, groups, order, amount: str, name: str,
             .drop("_slice", "_position", "_local", "_first", "_before", "_total"))
 
 
+def running_max(df: DataFrame, groups, order, value: str, name: str, limit: int = SMALL_ROWS) -> DataFrame:
+    """Add `name` = the largest `value` up to this row in `order` inside each group; nulls are skipped."""
+    groups = list(groups)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if at_most(df, limit):
+        window = Window.partitionBy(*groups).orderBy(*_columns(order)).rowsBetween(*upto)
+        return df.withColumn(name, F.max(value).over(window))
+    slices = _slices(df, groups, order)
+    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.groupBy(*groups, "_slice").agg(F.max(value).alias("_held")).withColumn(
+        "_before", F.max("_held").over(earlier)).drop("_held")
+    window = Window.partitionBy(*groups, "_slice").orderBy("_position").rowsBetween(*upto)
+    local = slices.withColumn("_local", F.max(value).over(window))
+    return (join_on(local, before, [*groups, "_slice"])
+            .withColumn(name, F.greatest("_before", "_local"))
+            .drop("_slice", "_position", "_local", "_before"))
+
+
 def _cumulated_values(df: DataFrame, groups, value: str) -> DataFrame:
     """One row per distinct (group, value): how many rows lie below it, its own count, the total."""
     counted = df.groupBy(*groups, value).agg(F.count("*").alias("_count"))

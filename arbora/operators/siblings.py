@@ -4,7 +4,17 @@ Only groups under one parent can merge, and a merge changes nothing but the grou
 parent's own list. So all parents at the greatest open depth of their tree work at the same time; a
 parent is done when its list offers no pair, and a merge that touched a group with children reopens
 that group. Trees whose checked size is small run as one task each; otherwise a round is a handful of
-joins over all open parents, and a parent with very many children is searched by block pairs.
+joins over all open parents.
+
+A parent with very many children takes many merges per round: its cheapest pairs are found by block
+pairs, the merges they lead to are played through among their ends, and every group so made is then
+compared with all other children, block by block. The merges before the first one that such a comparison
+would have overtaken are those of one merge at a time, and they are kept.
+
+`merge_order` is the order of one merge at a time over all trees: deepest parent, then distance, gap and
+smallest ids. The merges that follow from the first look at one parent (its turn: its own merges and those
+below a merged group) never depend on another turn of that depth, and at any moment the turn with the
+smallest next merge goes on. So a merge comes at the place of the largest merge of its turn so far.
 """
 
 from __future__ import annotations
@@ -13,15 +23,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arbora.core import at_most, empty_frame, is_empty, materialize
 from arbora.operators.contract import group_edges, group_nodes, number_groups
-from arbora.operators.ordering import number_rows
+from arbora.operators.ordering import number_rows, running_max
 from arbora.operators.propagate import follow_parents
 
 SMALL_GROUPS = 50_000
 CHILD_ROWS = 2000
-HISTORY = ("parent_head long, left_head long, right_head long, depth long, wave int, step int, "
+HISTORY = ("parent_head long, left_head long, right_head long, depth long, turn long, turn_depth long, wave int, step int, "
            "cosine_distance double, mean_stage_gap double, merged_mean_stage double, "
            "left_was_leaf boolean, right_was_leaf boolean, left_min long, right_min long")
 
@@ -59,16 +70,20 @@ def pair_costs(a: dict, b: dict, parent_stage: float, limits: Limits) -> np.ndar
     return np.where(allowed, distance, np.inf)
 
 
+def pair_keys(a: dict, b: dict, i: np.ndarray, j: np.ndarray):
+    """Stage gaps, ids of the left and ids of the right group of the pairs (i, j)."""
+    first = a["place"][i] < b["place"][j]
+    return (np.abs(a["stage"][i] - b["stage"][j]), np.where(first, a["min_id"][i], b["min_id"][j]),
+            np.where(first, b["min_id"][j], a["min_id"][i]))
+
+
 def best_pair(costs: np.ndarray, a: dict, b: dict):
     """(i, j) of the cheapest pair: distance, then stage gap, then lowest ids; None without a pair."""
     low = costs.min() if costs.size else np.inf
     if not np.isfinite(low):
         return None
     i, j = np.nonzero(costs == low)
-    gap = np.abs(a["stage"][i] - b["stage"][j])
-    first = a["place"][i] < b["place"][j]
-    left = np.where(first, a["min_id"][i], b["min_id"][j])
-    right = np.where(first, b["min_id"][j], a["min_id"][i])
+    gap, left, right = pair_keys(a, b, i, j)
     pick = np.lexsort((right, left, gap))[0]
     return int(i[pick]), int(j[pick])
 
@@ -93,25 +108,30 @@ def merge_pair(g: dict, i: int, j: int) -> None:
     g["child_stage"][i] = min(g["child_stage"][i], g["child_stage"][j])
 
 
-def merge_children(g: dict, parent: int, parent_stage: float, depth: int, wave: int, limits: Limits):
+def merge_children(g: dict, parent: int, parent_stage: float, depth: int, turn: tuple, wave: int, limits: Limits,
+                   bound: tuple | None = None, most: float = np.inf, made: list | None = None):
     """Merge the children of one parent until no pair is left or a group with children took part.
 
     Changes `g` in place; returns history rows, {merged head: surviving head} and the survivor that
-    has children, if any.
+    has children, if any. Ends also before a pair whose (distance, gap, ids) lie beyond `bound`, or after
+    `most` merges; `made` gets the state of every merged group.
     """
     costs = pair_costs(g, g, parent_stage, limits)
     alive = np.ones(len(g["head"]), dtype=bool)
     history, moved = [], {}
     while True:
-        pair = best_pair(costs, g, g)
+        pair = best_pair(costs, g, g) if len(history) < most else None
         if pair is None:
             return history, moved, None, alive
         i, j = sorted(pair, key=lambda x: g["place"][x])
-        history.append((parent, int(g["head"][i]), int(g["head"][j]), depth, wave, len(history),
-                        float(costs[i, j]), float(abs(g["stage"][i] - g["stage"][j])), 0.0,
-                        bool(g["leaf"][i]), bool(g["leaf"][j]), int(g["min_id"][i]), int(g["min_id"][j])))
+        key = (float(costs[i, j]), float(abs(g["stage"][i] - g["stage"][j])), int(g["min_id"][i]), int(g["min_id"][j]))
+        if bound is not None and key > bound:
+            return history, moved, None, alive
+        heads, leaves = (int(g["head"][i]), int(g["head"][j])), (bool(g["leaf"][i]), bool(g["leaf"][j]))
         merge_pair(g, i, j)
-        history[-1] = history[-1][:8] + (float(g["stage"][i]),) + history[-1][9:]
+        history.append((parent, *heads, depth, *turn, wave, len(history), *key[:2], float(g["stage"][i]), *leaves, *key[2:]))
+        if made is not None:
+            made.append({k: v[i].copy() for k, v in g.items()})
         moved[int(g["head"][j])] = int(g["head"][i])
         alive[j] = False
         costs[j, :] = costs[:, j] = np.inf
@@ -176,6 +196,7 @@ def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
                 children.setdefault(index[int(p)], set()).add(i)
         g["leaf"] = np.array([i not in children for i in range(len(pdf))])
         open_, wave, rows, survivor = set(children), 0, [], {}
+        turn = {p: (int(g["head"][p]), int(depth[p])) for p in children}
         while open_:
             deepest = max(depth[p] for p in open_)
             for p in sorted(x for x in open_ if depth[x] == deepest):
@@ -187,7 +208,7 @@ def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
                     g["child_stage"][k] = min((g["stage"][c] for c in children.get(k, ())), default=np.inf)
                 local = {name: values[kids].copy() for name, values in g.items()}
                 history, moved, inner, _ = merge_children(
-                    local, int(g["head"][p]), float(g["stage"][p]), int(depth[p]), wave, limits)
+                    local, int(g["head"][p]), float(g["stage"][p]), int(depth[p]), turn[p], wave, limits)
                 rows += history
                 for name in g:
                     g[name][kids] = local[name]
@@ -199,6 +220,7 @@ def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
                         open_.discard(index[old])
                 if inner is not None:
                     open_ |= {p, index[inner]}
+                    turn[index[inner]] = turn[p]
             wave += 1
         out = typed(pd.DataFrame(rows, columns=[c.split()[0] for c in HISTORY.split(", ")]), schema)
         final = []
@@ -216,9 +238,11 @@ def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
 
 
 def _ordered(history: DataFrame) -> DataFrame:
-    numbered = number_rows(history, [], ["wave", "step", "cosine_distance", "mean_stage_gap", "left_min",
-                                         "right_min"], "merge_order")
-    return numbered.withColumn("merge_order", F.col("merge_order") + 1)
+    key = ["cosine_distance", "mean_stage_gap", "left_min", "right_min"]
+    own = F.when(F.col("depth") == F.col("turn_depth"), F.struct(*key))
+    placed = running_max(history.withColumn("_own", own), ["turn_depth", "turn"], ["wave", "step"], "_own", "_place")
+    numbered = number_rows(placed, [], [F.desc("turn_depth"), *[F.col(f"_place.{k}") for k in key], "wave", "step"], "merge_order")
+    return numbered.withColumn("merge_order", F.col("merge_order") + 1).drop("_own", "_place", "turn", "turn_depth", "wave", "step")
 
 
 def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
@@ -226,7 +250,8 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
     spark = state.sparkSession
     state = state.withColumn("touched", F.lit(-1))
     open_ = materialize(state.where("parent is not null").groupBy("unit", F.col("parent").alias("head"))
-                        .agg(F.max("depth").alias("below")))
+                        .agg(F.max("depth").alias("below"))
+                        .withColumns({"turn": F.col("head"), "turn_depth": F.col("below") - 1}))
     survivors = spark.createDataFrame([], "head long, survivor long")
     histories, wave = [], 0
     row_schema = ("parent long, unit long, level long, place long, head long, n double, stage double, "
@@ -236,16 +261,15 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
         deepest = open_.groupBy("unit").agg(F.max("below").alias("below"))
         active = materialize(open_.join(deepest, ["unit", "below"], "left_semi"))
         lists = materialize(with_children(state).join(
-            active.select(F.col("head").alias("parent")), "parent", "left_semi"))
+            active.select(F.col("head").alias("parent"), "turn", "turn_depth"), "parent"))
         sizes = lists.groupBy("parent").agg(F.count("*").alias("_size"))
         here = wave
 
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.reset_index(drop=True)
             g = as_arrays(pdf)
-            history, moved, inner, alive = merge_children(
-                g, int(pdf["parent"].iat[0]), float(pdf["parent_stage"].iat[0]),
-                int(pdf["depth"].iat[0]) - 1, here, limits)
+            most = int(pdf["most"].iat[0]) if "most" in pdf else np.inf
+            history, moved, inner, alive = _merge_list(pdf, g, here, limits, most=most)
             out = [pd.DataFrame(history, columns=[c.split()[0] for c in HISTORY.split(", ")])]
             if history:
                 kept = np.flatnonzero(alive)
@@ -259,27 +283,26 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
                     out.append(pd.DataFrame({"head": [old], "survivor": [new]}))
                 out.append(rows)
                 if inner is not None:
-                    out.append(pd.DataFrame({"inner": [inner], "parent": [pdf["parent"].iat[0]]}))
+                    out.append(pd.DataFrame({"inner": [inner], "parent": [pdf["parent"].iat[0]],
+                                             "turn": [pdf["turn"].iat[0]], "turn_depth": [pdf["turn_depth"].iat[0]]}))
             return pd.concat([typed(o, schema) for o in out], ignore_index=True)
 
         wide = sizes.where(F.col("_size") > child_rows)
         narrow = lists.join(sizes.where(F.col("_size").between(2, child_rows)), "parent", "left_semi")
         found = narrow.groupBy("parent").applyInPandas(kernel, schema)
+        stuck = None
         if not wide.isEmpty():
-            pairs = _best_by_blocks(lists.join(wide, "parent", "left_semi"), limits, child_rows // 2)
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("head"))
-            chosen = materialize(lists.join(ends, "head", "left_semi"))
+            long = materialize(lists.join(wide, "parent", "left_semi"))
+            chosen = _certain(long, limits, child_rows)
             found = found.unionByName(chosen.groupBy("parent").applyInPandas(kernel, schema))
-            stuck = pairs.select(F.col("parent").alias("head"))
-        else:
-            stuck = None
+            stuck = chosen.select(F.col("parent").alias("head"), "turn", "turn_depth")
         found = materialize(found)
         histories.append(found.where("parent_head is not null").select(
             *[c.split()[0] for c in HISTORY.split(", ")]))
         moved = materialize(found.where("survivor is not null").select("head", "survivor"))
         fresh = found.where("vector is not null").select(*[c.split()[0] for c in row_schema.split(", ")]).withColumnRenamed("level", "depth")
         inner = found.where("inner is not null")
-        again = inner.select(F.explode(F.array("inner", "parent")).alias("head"))
+        again = inner.select(F.explode(F.array("inner", "parent")).alias("head"), "turn", "turn_depth")
         if stuck is not None:
             again = again.unionByName(stuck)
 
@@ -289,11 +312,12 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
             "parent", F.coalesce("survivor", "parent")).drop("survivor")
         state = materialize(state.select("head", "parent", "unit", "depth", "place", "n", "stage",
                                          "min_id", "vector").withColumn("touched", F.lit(wave)))
-        left = open_.join(active, "head", "left_anti").join(moved, "head", "left_anti").select("head")
+        left = open_.join(active, "head", "left_anti").join(moved, "head", "left_anti").select("head", "turn", "turn_depth")
         parents = left.unionByName(again).distinct()
         open_ = materialize(state.where("parent is not null").join(
-            parents.withColumnRenamed("head", "parent"), "parent", "left_semi")
-            .groupBy("unit", F.col("parent").alias("head")).agg(F.max("depth").alias("below")))
+            parents.withColumnRenamed("head", "parent"), "parent")
+            .groupBy("unit", F.col("parent").alias("head")).agg(
+                F.max("depth").alias("below"), F.max("turn").alias("turn"), F.max("turn_depth").alias("turn_depth")))
         survivors = materialize(
             survivors.join(moved.select(F.col("head").alias("survivor"), F.col("survivor").alias("_next")),
                            "survivor", "left")
@@ -305,31 +329,130 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
     return survivors, _ordered(materialize(history))
 
 
-def _best_by_blocks(lists: DataFrame, limits: Limits, block_rows: int) -> DataFrame:
-    """The cheapest allowed pair (a, b) of each parent, searched one block pair per task."""
+def _merge_list(pdf: pd.DataFrame, g: dict, wave: int, limits: Limits, **more):
+    """`merge_children` on the rows of one parent."""
+    return merge_children(g, int(pdf["parent"].iat[0]), float(pdf["parent_stage"].iat[0]), int(pdf["depth"].iat[0]) - 1,
+                          (int(pdf["turn"].iat[0]), int(pdf["turn_depth"].iat[0])), wave, limits, **more)
+
+
+def _certain(lists: DataFrame, limits: Limits, child_rows: int) -> DataFrame:
+    """Rows of `lists` whose merges among themselves are the next `most` merges of their parent."""
+    batch = max(2, child_rows // 4)
+    pairs = _cheapest_by_blocks(lists, limits, child_rows // 2, batch)
+    last = pairs.groupBy("parent").agg(F.max(F.struct("distance", "gap", "left_id", "right_id")).alias("last"))
+    ends = pairs.select("parent", F.explode(F.array("a", "b")).alias("head")).distinct()
+    chosen = materialize(lists.join(ends, ["parent", "head"], "left_semi").join(last, "parent"))
+    schema = ("parent long, parent_stage double, step int, until int, distance double, gap double, left_id long, "
+              "right_id long, head long, place long, n double, stage double, min_id long, leaf boolean, "
+              "child_stage double, vector array<double>")
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, made = pdf.reset_index(drop=True), []
+        bound = pdf["last"].iat[0]
+        bound = tuple(bound[k] for k in ("distance", "gap", "left_id", "right_id"))
+        history, *_ = _merge_list(pdf, as_arrays(pdf), 0, limits, bound=bound, made=made)
+        if not history:  # the last digit of a distance may differ between two products; the first pair is certain
+            made = []
+            history, *_ = _merge_list(pdf, as_arrays(pdf), 0, limits, most=1, made=made)
+        if not history:
+            return empty_frame(schema)
+        past = pd.DataFrame(history, columns=[c.split()[0] for c in HISTORY.split(", ")])
+        seen, until = {}, [0] * len(past)
+        for k in range(len(past) - 1, -1, -1):  # the step that uses up what step k made
+            until[k] = seen.get(past["left_head"][k], len(past) - 1)
+            seen[past["left_head"][k]] = seen[past["right_head"][k]] = k
+        state = pd.DataFrame({k: [m[k] for m in made] for k in made[0]})
+        return state.assign(
+            parent=pdf["parent"].iat[0], parent_stage=pdf["parent_stage"].iat[0], step=past["step"], until=until,
+            distance=past["cosine_distance"], gap=past["mean_stage_gap"], left_id=past["left_min"],
+            right_id=past["right_min"])[[c.split()[0] for c in schema.split(", ")]]
+
+    steps = materialize(chosen.groupBy("parent").applyInPandas(play, schema))
+    others = lists.join(ends, ["parent", "head"], "left_anti")
+    blocks = materialize(lists.groupBy("parent").agg(F.ceil(F.count("*") / F.lit(child_rows // 2)).alias("_blocks")))
+    mine = others.join(blocks, "parent").withColumn("_block", F.pmod(F.xxhash64("head"), F.col("_blocks")))
+    many = blocks.select("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    sent = materialize(steps.join(many, "parent"))  # a table of its own, as both sides come from `lists`
+
+    def compare(made: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        if not len(made) or not len(rest):
+            return empty_frame("parent long, step int, distance double, gap double, left_id long, right_id long")
+        a, b = as_arrays(made), as_arrays(rest)
+        costs = pair_costs(a, b, float(made["parent_stage"].iat[0]), limits)
+        rows = []
+        for k, step in enumerate(made["step"]):
+            one = {name: v[k:k + 1] for name, v in a.items()}
+            pair = best_pair(costs[k:k + 1], one, b)
+            if pair is not None:
+                gap, left, right = (x[0] for x in pair_keys(one, b, np.array([0]), np.array([pair[1]])))
+                rows.append((made["parent"].iat[0], step, costs[k, pair[1]], gap, left, right))
+        return pd.DataFrame(rows, columns=["parent", "step", "distance", "gap", "left_id", "right_id"])
+
+    rivals = (sent.groupBy("parent", "_block").cogroup(mine.groupBy("parent", "_block")).applyInPandas(
+        compare, "parent long, step int, distance double, gap double, left_id long, right_id long")
+        .groupBy("parent", "step").agg(F.min(F.struct("distance", "gap", "left_id", "right_id")).alias("rival")))
+    lives = steps.select("parent", "step", "until").join(rivals, ["parent", "step"]).withColumnsRenamed({"step": "_made"})
+    keys = steps.select("parent", "step", F.struct("distance", "gap", "left_id", "right_id").alias("key"))
+    overtaken = lives.join(keys, "parent").where(
+        (F.col("step") > F.col("_made")) & (F.col("step") <= F.col("until")) & (F.col("rival") < F.col("key"))
+    ).groupBy("parent").agg(F.min("step").alias("_first"))
+    counts = (steps.groupBy("parent").agg(F.count("*").alias("_all")).join(overtaken, "parent", "left")
+              .select("parent", F.coalesce(F.col("_first").cast("long"), "_all").alias("most")))
+    return materialize(chosen.join(counts, "parent").drop("last"))
+
+
+def _cheapest_by_blocks(lists: DataFrame, limits: Limits, block_rows: int, batch: int) -> DataFrame:
+    """The `batch` cheapest allowed pairs (a, b) of each parent, searched one block pair per task."""
     sizes = lists.groupBy("parent").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("_blocks"))
     copies = (lists.join(sizes, "parent")
               .withColumn("_own", F.pmod(F.xxhash64("head"), F.col("_blocks")))
-              .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+              .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
               .withColumn("_low", F.least("_own", "_other")).withColumn("_high", F.greatest("_own", "_other")))
     schema = "parent long, distance double, gap double, left_id long, right_id long, a long, b long"
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_low"].iat[0] == pdf["_high"].iat[0]
         low, high = pdf[pdf["_own"] == pdf["_low"].iat[0]], pdf[pdf["_own"] == pdf["_high"].iat[0]]
         if not len(low) or not len(high):
             return empty_frame(schema)
         a, b = as_arrays(low), as_arrays(high)
         costs = pair_costs(a, b, float(pdf["parent_stage"].iat[0]), limits)
-        pair = best_pair(costs, a, b)
-        if pair is None:
-            return empty_frame(schema)
-        i, j = pair
-        ends = sorted([(a["place"][i], a["min_id"][i]), (b["place"][j], b["min_id"][j])])
-        return pd.DataFrame({"parent": [pdf["parent"].iat[0]], "distance": [costs[i, j]],
-                             "gap": [abs(a["stage"][i] - b["stage"][j])], "left_id": [ends[0][1]],
-                             "right_id": [ends[1][1]], "a": [a["head"][i]], "b": [b["head"][j]]})
+        if same:
+            costs[np.tril_indices(len(costs))] = np.inf
+        i, j = np.nonzero(np.isfinite(costs))
+        if len(i) > batch:
+            cut = np.partition(costs[i, j], batch - 1)[batch - 1]
+            i, j = np.nonzero(costs <= cut)
+        distance, (gap, left, right) = costs[i, j], pair_keys(a, b, i, j)
+        pick = np.lexsort((right, left, gap, distance))[:batch]
+        return pd.DataFrame({"parent": pdf["parent"].iat[0], "distance": distance[pick], "gap": gap[pick],
+                             "left_id": left[pick], "right_id": right[pick], "a": a["head"][i[pick]], "b": b["head"][j[pick]]},
+                            columns=[c.split()[0] for c in schema.split(", ")])
 
     found = copies.groupBy("parent", "_low", "_high").applyInPandas(search, schema)
-    order = F.struct("distance", "gap", "left_id", "right_id")
-    best = found.groupBy("parent").agg(F.min_by(F.struct("a", "b"), order).alias("_p"))
-    return materialize(best.select("parent", "_p.a", "_p.b"))
+    order = Window.partitionBy("parent").orderBy("distance", "gap", "left_id", "right_id")
+    return materialize(found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= batch).drop("_rank"))
+
+
+def merge_members(groups: DataFrame, history: DataFrame) -> DataFrame:
+    """Member lists of every merge: one row (merge_order, side, node_id) per node.
+
+    `groups` (node_id, head_id) is the partition before the merges; `side` is "left", "right" or "parent".
+    Where a group went is closed by pointer doubling, so the rounds are the logarithm of the longest chain.
+    """
+    history = materialize(history.select("merge_order", "parent_head", "left_head", "right_head"))
+    hop = history.select(F.col("right_head").alias("head"), F.col("left_head").alias("holder"),
+                         F.col("merge_order").alias("since"))
+    known, jump = materialize(hop), materialize(hop.select("head", F.col("holder").alias("far")))
+    while not is_empty(jump):
+        longer = jump.join(known.select(F.col("head").alias("far"), "holder", "since"), "far").select("head", "holder", "since")
+        further = jump.join(jump.select(F.col("head").alias("far"), F.col("far").alias("_next")), "far")
+        known = materialize(known.unionByName(longer))
+        jump = materialize(further.select("head", F.col("_next").alias("far")))
+    own = groups.select(F.col("head_id").alias("head")).distinct().select(
+        "head", F.col("head").alias("holder"), F.lit(0).cast("long").alias("since"))
+    sides = history.select("merge_order", F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"{side}_head").alias("holder")) for side in ("left", "right", "parent")
+    ])).alias("_s")).select("merge_order", "_s.side", "_s.holder")
+    held = sides.join(known.unionByName(own), "holder").where(F.col("since") < F.col("merge_order"))
+    return held.join(groups.select("node_id", F.col("head_id").alias("head")), "head").select("merge_order", "side", "node_id")

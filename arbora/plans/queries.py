@@ -720,12 +720,18 @@ def path_group_statistics(spark, folder):
     return contract.group_nodes(nodes, groups)
 
 
-@query("merge_order:i parent_head:i left_head:i right_head:i depth:i wave:i step:i cosine_distance:d "
+@query("merge_order:i parent_head:i left_head:i right_head:i depth:i cosine_distance:d "
        "mean_stage_gap:d merged_mean_stage:d left_was_leaf:b right_was_leaf:b")
 def sibling_merge_history(spark, folder):
     return _sibling_pass(spark, folder)[1]
 
 
+@query("merge_order:i side:s node_id:i")
+def sibling_merge_members(spark, folder):
+    """The nodes of both groups and of their parent at every merge."""
+    return siblings.merge_members(first_groups(spark, folder), _sibling_pass(spark, folder)[1])
+
+
 @query("source_node_id:i contracted_node_id:i position_within_contracted_node:i source_was_anchor:b")
 def source_to_contracted_nodes(spark, folder):
     return mapping_table(spark, folder)

@@ -212,6 +212,7 @@ def contract_tree(tree_nodes: DataFrame, tree_edges: DataFrame, labels: DataFram
               "contraction_summary": contract.contraction_summary(real, first, merged, final, mapping)}
     if history is not None:
         result["sibling_merge_history"] = history
+        result["sibling_merge_members"] = materialize(siblings.merge_members(first, history))
     if labels is not None:
         result["node_celltype_composition"] = comp.regroup(
             labels, mapping.withColumnRenamed("source_node_id", "node_id"), "node_id", "contracted_node_id"

@@ -71,7 +71,7 @@ def plain_siblings(rows, parent, groups, far, gap):
     """One merge at a time over the whole tree: deepest parent, then distance, gap and lowest ids."""
     info = {r[0]: r for r in rows}
     groups = sorted([sorted(g) for g in groups], key=lambda g: (min(info[i][2] for i in g), min(g)))
-    merges = 0
+    merges = []
     while True:
         owner = {i: g for g, members in enumerate(groups) for i in members}
         up = {owner[c]: owner[p] for c, p in parent.items() if owner[c] != owner[p]}
@@ -99,22 +99,31 @@ def plain_siblings(rows, parent, groups, far, gap):
         if not options:
             return groups, merges
         *_, a, b = min(options)
+        merges.append((sorted(groups[a]), sorted(groups[b]), sorted(groups[up[a]])))
         groups[a] = groups[a] + groups[b]
         del groups[b]
-        merges += 1
 
 
-@pytest.mark.parametrize("how", [{}, {"small_groups": 0}, {"small_groups": 0, "child_rows": 4}])
+def histories_agree(single, history, merges):
+    """Same merges in the same order with the same members."""
+    lists = {}
+    for r in siblings.merge_members(single, history).collect():
+        lists.setdefault((r.merge_order, r.side), []).append(r.node_id)
+    sides = ("left", "right", "parent")
+    return {k: sorted(v) for k, v in lists.items()} == {(k, s): m[i] for k, m in enumerate(merges, 1) for i, s in enumerate(sides)}
+
+
+@pytest.mark.parametrize("how", [{}, {"small_groups": 0}, {"small_groups": 0, "child_rows": 4}, {"small_groups": 0, "child_rows": 12}])
 def test_sibling_merges(spark, how):
     rows, parent = random_tree(10, 50)
     nodes, edges = frames(spark, rows, parent)
     single = materialize(nodes.select("node_id", F.col("node_id").alias("head_id")))
     want, merges = plain_siblings(rows, parent, [[r[0]] for r in rows], .7, 4.0)
-    assert merges > 5
+    assert len(merges) > 5
     got, history = siblings.merge_siblings(nodes, single, edges, .7, 4.0, **how)
     assert partition(got) == sorted(sorted(g) for g in want)
-    assert history.count() == merges
-    assert sorted(r.merge_order for r in history.collect()) == list(range(1, merges + 1))
+    assert sorted(r.merge_order for r in history.collect()) == list(range(1, len(merges) + 1))
+    assert histories_agree(single, history, merges)
 
 
 @pytest.mark.parametrize("seed", [8, 9, 10])
@@ -124,7 +133,26 @@ def test_sibling_merges_more_trees(spark, seed):
     single = materialize(nodes.select("node_id", F.col("node_id").alias("head_id")))
     want, merges = plain_siblings(rows, parent, [[r[0]] for r in rows], .7, 4.0)
     got, history = siblings.merge_siblings(nodes, single, edges, .7, 4.0)
-    assert history.count() == merges and partition(got) == sorted(sorted(g) for g in want)
+    assert history.count() == len(merges) and partition(got) == sorted(sorted(g) for g in want)
+    assert histories_agree(single, history, merges)
+
+
+@pytest.mark.parametrize("seed, child_rows", [(1, 16)])
+def test_sibling_merges_of_many_children(spark, seed, child_rows):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((7, 5))
+    vectors = base[rng.integers(0, 7, 28)] + rng.standard_normal((28, 5)) * .25
+    parent = {i: 0 if i <= 22 else int(rng.integers(1, 6)) for i in range(1, 29)}
+    rows = [(0, "l", 0.0, 9, 1, [1.0] * 5)]
+    rows += [(i, "l", (1.0 if i <= 22 else 4.0) + float(rng.random()), int(rng.integers(1, 9)), 1, [float(x) for x in v])
+             for i, v in enumerate(vectors, 1)]
+    nodes, edges = frames(spark, rows, parent)
+    single = materialize(nodes.select("node_id", F.col("node_id").alias("head_id")))
+    want, merges = plain_siblings(rows, parent, [[r[0]] for r in rows], .3, .6)
+    assert len(merges) > 7
+    got, history = siblings.merge_siblings(nodes, single, edges, .3, .6, small_groups=0, child_rows=child_rows)
+    assert partition(got) == sorted(sorted(g) for g in want)
+    assert histories_agree(single, history, merges)
 
 
 def test_chain_stops_at_span_inclusive(spark):
