@@ -3,10 +3,11 @@
 Per document, four rates are computed as whole numbers: mean word length (hundredths of a
 character), symbols, repeated lines and repeated words (each per thousand). A sketch is a log-linear
 histogram: values keep their `BITS` leading bits, so a quantile is off by at most 1/32 of its value,
-and sketches are merged by adding counts. Sketches per (language, source) that hold fewer than
-`least` documents are replaced by the merged sketch of the language, then of the whole table.
-A document is kept when no rate lies beyond its group's fences: q25 - SPREADS * s and
-q75 + SPREADS * s with s = the distance of the quartiles, at least the rate's `FLOORS` entry.
+and sketches are merged by adding counts: of (language, source) into the language, of languages into the whole.
+A document is kept when no rate lies beyond its group's limits. These are the 1 % and 99 % quantiles, moved out by
+half their distance from the median and by the resolution of the sketch; nothing else is fixed. Limits of
+small groups are shrunk: those of n documents weigh n, those of the language (itself shrunk towards the whole table)
+weigh `least`.
 Documents that fail the base rules do not enter the sketches.
 
 Edge cases: a null or empty text has no words and fails the base rules; null language or source is a
@@ -27,11 +28,11 @@ from arbora.llm import spans
 from arbora.llm.registry import query, table
 
 BITS = 6
-SPREADS = 3
-LEAST = 100
-BROADCAST_GROUPS = 50_000  # a table of fences up to this size is broadcast
-# Smallest spread per rate (fixed values).
-FLOORS = {"word_length": 50, "symbol_rate": 20, "dup_line_rate": 200, "repeat_rate": 50}
+TAIL = 100  # the quantiles of 1 / TAIL and 1 - 1 / TAIL
+LEAST = 100  # weight, in documents, of the next coarser limits
+BROADCAST_GROUPS = 50_000  # a table of limits up to this size is broadcast
+RATES = ["word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
+STEP = 1 << (BITS - 1)  # a sketched value may lie this part of itself below the value
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOL = np.zeros(256, bool)
@@ -114,9 +115,14 @@ def rates(counted: DataFrame) -> DataFrame:
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))})
 
 
+def _shrunk(own: str, docs: str, wider: str, least: int, divide: str) -> str:
+    """SQL for a limit of `docs` documents drawn towards a wider one."""
+    return f"(({own} * {docs} + {wider} * {least}) {divide} ({docs} + {least}))"
+
+
 def fences(measured: DataFrame, lang: str, source: str, least: int = LEAST) -> DataFrame:
     """(lang, source, lo_*, hi_*): one row per group of `measured`, from merged sketches."""
-    names = list(FLOORS)
+    names = RATES
     long = (measured.where("not base_failed")
             .select(F.col(lang).alias("_l"), F.col(source).alias("_s"),
                     F.explode(F.array(*[F.struct(F.lit(m).alias("m"), sketched(F.col(m)).alias("v")) for m in names])).alias("e"))
@@ -125,27 +131,25 @@ def fences(measured: DataFrame, lang: str, source: str, least: int = LEAST) -> D
     by_lang = long.groupBy("_l", "m", "v").agg(F.sum("n").alias("n"))
     overall = long.groupBy("m", "v").agg(F.sum("n").alias("n"))
 
-    def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    def tails(sketch: DataFrame, keys: list[str]) -> DataFrame:
         group = Window.partitionBy(*keys, "m")
         upto = group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(group)})
-        at = {q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("v"))) for q, k in (("q1", 1), ("q3", 3))}
-        floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
-        wide = ranked.groupBy(*keys, "m").agg(at["q1"].alias("q1"), at["q3"].alias("q3"), F.max("all").alias("docs"))
-        wide = wide.withColumn("s", SPREADS * F.greatest(F.col("q3") - F.col("q1"), floor[F.col("m")]))
-        return wide.groupBy(*keys).pivot("m", names).agg(
-            F.first(F.struct((F.col("q1") - F.col("s")).alias("lo"), (F.col("q3") + F.col("s")).alias("hi"), "docs")))
-
-    fine = quartiles(long, ["_l", "_s"])
-    middle = quartiles(by_lang, ["_l"]).select(F.col("_l").alias("_ml"), *[F.col(m).alias(f"_m_{m}") for m in names])
-    coarse = quartiles(overall, []).select(*[F.col(m).alias(f"_c_{m}") for m in names])
+        at = {q: F.min(F.when(F.col("upto") * d >= F.col("all") * k, F.col("v")))
+              for q, k, d in (("low", 1, TAIL), ("mid", 1, 2), ("high", TAIL - 1, TAIL))}
+        wide = ranked.groupBy(*keys, "m").agg(*[c.alias(q) for q, c in at.items()], F.max("all").alias("docs"))
+        lo, hi = (F.expr(e) for e in (f"greatest(0, low - (mid - low) div 2 - greatest(1, low div {STEP}))",
+                                      f"high + (high - mid) div 2 + greatest(1, high div {STEP})"))
+        return wide.groupBy(*keys).pivot("m", names).agg(F.first(F.struct(lo.alias("lo"), hi.alias("hi"), "docs")))
+
+    fine = tails(long, ["_l", "_s"])
+    middle = tails(by_lang, ["_l"]).select(F.col("_l").alias("_ml"), *[F.col(m).alias(f"_m_{m}") for m in names])
+    coarse = tails(overall, []).select(*[F.col(m).alias(f"_c_{m}") for m in names])
     joined = fine.join(middle, F.col("_l").eqNullSafe(F.col("_ml")), "left").crossJoin(coarse)  # coarse is one row
-    first = F.col(names[0])["docs"]
-    level = F.when(first >= least, 0).when(F.col(f"_m_{names[0]}")["docs"] >= least, 1).otherwise(2)
 
     def pick(m: str, side: str) -> Column:
-        return (F.when(level == 0, F.col(m)[side]).when(level == 1, F.col(f"_m_{m}")[side])
-                .otherwise(F.col(f"_c_{m}")[side]).alias(f"_{side}_{m}"))
+        return F.expr(_shrunk(f"`{m}`.{side}", f"`{m}`.docs", _shrunk(
+            f"`_m_{m}`.{side}", f"`_m_{m}`.docs", f"`_c_{m}`.{side}", least, "div"), least, "div")).alias(f"_{side}_{m}")
 
     return joined.select("_l", "_s", *[pick(m, side) for m in names for side in ("lo", "hi")])
 
@@ -159,7 +163,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         limits = F.broadcast(limits)
     same = F.col(lang).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s"))
     inside = ~F.col("base_failed")
-    for m in FLOORS:
+    for m in RATES:
         inside = inside & F.col(m).between(F.col(f"_lo_{m}"), F.col(f"_hi_{m}"))
     joined = measured.join(limits, same, "left")
     return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).select(*measured.columns, "kept")
@@ -170,15 +174,18 @@ _LEVELS = {"fine": "lang, source", "middle": "lang", "coarse": ""}
 
 def _twin() -> str:
     cut = "v - v % (1::BIGINT << greatest(0, length(bin(v)) - 6)::BIGINT)"
-    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS m, {m} AS v FROM rated WHERE NOT base_failed" for m in FLOORS)
-    floor = " ".join(f"WHEN '{m}' THEN {f}" for m, f in FLOORS.items())
+    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS m, {m} AS v FROM rated WHERE NOT base_failed" for m in RATES)
     parts = []
     for name, keys in _LEVELS.items():
         by = f"{keys}, m" if keys else "m"
         head = f"{keys}, " if keys else ""
-        parts.append(f"""{name} AS (SELECT {head}m, min(v) FILTER (upto * 4 >= n) q1, min(v) FILTER (upto * 4 >= 3 * n) q3, max(n) docs
+        parts.append(f"""{name} AS (SELECT {head}m, docs, greatest(0, a - (b - a) // 2 - greatest(1, a // {STEP})) lo,
+                c + (c - b) // 2 + greatest(1, c // {STEP}) hi FROM (SELECT {head}m, min(v) FILTER (upto * {TAIL} >= n) a,
+            min(v) FILTER (upto * 2 >= n) b, min(v) FILTER (upto * {TAIL} >= {TAIL - 1} * n) c, max(n)::BIGINT docs
             FROM (SELECT {head}m, v, sum(c) OVER (PARTITION BY {by} ORDER BY v) upto, sum(c) OVER (PARTITION BY {by}) n
-                  FROM (SELECT {head}m, v, count(*) c FROM cut GROUP BY {by}, v)) GROUP BY {by})""")
+                  FROM (SELECT {head}m, v, count(*) c FROM cut GROUP BY {by}, v)) GROUP BY {by}))""")
+    shrunk = ", ".join(_shrunk(f"f.{x}", "f.docs", _shrunk(f"g.{x}", "g.docs", f"h.{x}", LEAST, "//"), LEAST, "//") + f" {x}"
+                       for x in ("lo", "hi"))
     return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') t,
         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
     win AS (SELECT doc_id, i, list_aggregate(ws[i:i+4], 'string_agg', ' ') s
@@ -198,15 +205,12 @@ def _twin() -> str:
         (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) base_failed FROM counted),
     cut AS (SELECT doc_id, lang, source, m, {cut} v FROM ({rows})),
     {", ".join(parts)},
-    picked AS (SELECT f.lang, f.source, f.m,
-        CASE WHEN f.docs >= {LEAST} THEN f.q1 WHEN g.docs >= {LEAST} THEN g.q1 ELSE h.q1 END q1,
-        CASE WHEN f.docs >= {LEAST} THEN f.q3 WHEN g.docs >= {LEAST} THEN g.q3 ELSE h.q3 END q3
+    lim AS (SELECT f.lang, f.source, f.m, {shrunk}
         FROM fine f JOIN middle g ON f.lang IS NOT DISTINCT FROM g.lang AND f.m = g.m JOIN coarse h ON f.m = h.m),
-    lim AS (SELECT *, {SPREADS} * greatest(q3 - q1, CASE m {floor} END) s FROM picked),
     bad AS (SELECT DISTINCT r.doc_id FROM (
-        {" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS m, {m} AS v FROM rated" for m in FLOORS)}) r
+        {" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS m, {m} AS v FROM rated" for m in RATES)}) r
         JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source AND r.m = lim.m
-        WHERE r.v < q1 - s OR r.v > q3 + s)
+        WHERE r.v < lo OR r.v > hi)
     SELECT doc_id, n_words::BIGINT n_words, word_chars, n_symbols::BIGINT n_symbols, n_dup_lines::BIGINT n_dup_lines,
         n_repeat_words::BIGINT n_repeat_words, base_failed,
         NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM rated"""

@@ -174,6 +174,20 @@ def test_repeats_in_periodic_text(spark):
     assert got == [(2, 398), (2, 398), (3, 349), (4, 0)]
 
 
+def test_quality_limits_follow_the_tails(spark):
+    plain = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, plain + (" #" * (i % 5) if i % 2 else ""), "en", "noisy" if i % 2 else "calm") for i in range(2000)]
+    rows += [(5000, plain + " #" * 4, "en", "calm"), (5001, plain + " #" * 4, "en", "noisy"), (5002, plain + " #" * 4, "en", "rare"),
+             (5003, plain + " #" + "#" * 40, "en", "noisy"), (5004, None, "en", "calm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert [kept[i] for i in range(5000, 5005)] == [False, True, True, False, False]
+    assert all(kept[i] for i in range(2000))
+    limits = {r["_s"]: r["_hi_symbol_rate"] for r in quality.fences(
+        quality.rates(quality.with_counts(docs)), "lang", "source").collect()}
+    assert limits["calm"] < limits["rare"] < limits["noisy"] * 2 and limits["calm"] < limits["noisy"]
+
+
 def test_quality_counts():
     text = "a b c d e f a b c d e\nx #y\nx #y\n \n\nx #y"
     data = np.frombuffer(text.encode(), np.uint8)
