@@ -34,6 +34,7 @@ TOP = 300
 LANGUAGES = 1000
 BLOCK = 300_000
 NONE = "und"
+LOW, SHARE = 0.01, 2 / 3  # a text fits from SHARE of the LOW quantile of labelled scores on
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -166,6 +167,24 @@ def predict(docs: DataFrame, profile: DataFrame, text: str = "text", top: int =
     return docs.select(*rest, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
+def fitting(found: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, low: float = LOW) -> DataFrame:
+    """Rows of `found` (a written result of `predict` with its text) that fit their language.
+
+    The limit of a predicted language and length class (power of two of the characters) is `share` of the
+    `low` quantile of the scores of its labelled rows, or of all labelled rows where that is less or there are none.
+    Quantiles are mergeable sketches over all labelled rows. Rows without a language never fit.
+    """
+    size = F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
+    rows = found.where(F.col("lang_pred") != NONE).withColumn("_size", size)
+    quantile = F.percentile_approx("score", F.lit(low), F.lit(10_000))
+    known = rows.where(F.col(lang).isNotNull())
+    fine = known.groupBy(F.col("lang_pred").alias("_lang_pred"), F.col("_size").alias("_its_size")).agg(quantile.alias("_fine"))
+    whole = known.agg(quantile.alias("_whole"))  # one row
+    joined = rows.join(F.broadcast(fine), (F.col("lang_pred") == F.col("_lang_pred")) & (F.col("_size") == F.col("_its_size")), "left")
+    joined = joined.crossJoin(F.broadcast(whole))
+    return joined.where(F.col("score") >= share * F.least("_fine", "_whole")).select(*found.columns)
+
+
 def identified(docs: DataFrame, held: F.Column, text: str = "text", lang: str = "lang") -> DataFrame:
     """Predictions for all rows from profiles of the rows that are not held out."""
     return predict(docs, profiles(docs.where(~held), text, lang), text)

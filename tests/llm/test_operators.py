@@ -174,6 +174,22 @@ def test_repeats_in_periodic_text(spark):
     assert got == [(2, 398), (2, 398), (3, 349), (4, 0)]
 
 
+def test_language_stage_rejects_what_fits_no_profile(spark, some, data):
+    import corpus_pipeline
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(60))
+    other = ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem "
+             "i sumieniem i powinni postępować wobec innych w duchu braterstwa")
+    planted = spark.createDataFrame([(10**6, junk, None, "x", 0), (10**6 + 1, other, None, "x", 0), (10**6 + 2, None, None, "x", 0),
+                                     (10**6 + 3, "12 34", "en", "x", 0)], some.schema)
+    docs = some.unionByName(planted).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_languages(spark, docs, data)
+    assert kept.columns == docs.columns and {r.score for r in kept.select("score").distinct().collect()} == {"mine"}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in some.where("text rlike '[A-Za-z]'").collect()}
+    assert corpus_pipeline.keep_languages(spark, docs.limit(0), data).count() == 0
+
+
 def test_quality_limits_follow_the_tails(spark):
     plain = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(i, plain + (" #" * (i % 5) if i % 2 else ""), "en", "noisy" if i % 2 else "calm") for i in range(2000)]
