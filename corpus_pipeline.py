@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 from arbora.core import materialize, ship
 from arbora.llm import fuzzy_lines, language_id, near_docs, packing, templates
 
-#: Texts whose n-grams fit no language profile better than this are rejected, as are those without letters.
-LEAST_SCORE = 0.1
-
 #: No single SQL statement expresses the learned profiles and the packing; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; profiles are learned from all labelled documents."""
+    """Documents in a recognised language; profiles and limits are learned from all labelled documents.
+
+    Texts without letters go, as do those that fit their best profile far worse than labelled texts of
+    that language and length do (`language_id.fitting`).
+    """
     ship(spark)
-    known = language_id.profiles(docs)
-    found = language_id.predict(docs, known, keep_text=True)
-    return found.where((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of the caller clash with nothing
+    text, lang = (f"c{docs.columns.index(c)}" for c in ("text", "lang"))
+    known = language_id.profiles(plain, text, lang)
+    found = materialize(language_id.predict(plain, known, text, keep_text=True))
+    return language_id.fitting(found, text, lang).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
