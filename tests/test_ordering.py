@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators.ordering import average_ranks, number_rows, quantiles, running_sum
+from arbora.operators.ordering import average_ranks, number_rows, quantiles, running_max, running_sum
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,11 @@ def test_average_ranks(frame, limit):
     pdf, df = frame
     got = average_ranks(df, ["g"], "v", "r", limit).toPandas().set_index("id").r.sort_index()
     assert np.allclose(got, pdf.groupby("g").v.rank().to_numpy())
+
+
+def test_running_max_by_slices(spark):
+    rows = [(i % 3, i, None if i % 4 == 0 else (i * 37) % 50) for i in range(120)]
+    df = spark.createDataFrame(rows, "g long, i long, v long").withColumn("s", F.when(F.col("v").isNotNull(), F.struct("v", "i")))
+    one, many = ({(r.g, r.i): r.m for r in running_max(df, ["g"], ["i"], "s", "m", n).collect()} for n in (1000, 0))
+    assert one == many and len(one) == 120
+    assert one[(1, 118)].v == max(v for g, _, v in rows if g == 1 and v is not None)
