@@ -1,5 +1,7 @@
 """Neighbours, propagation, parents, components and communities: both ways of running agree."""
 
+import signal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,6 +124,30 @@ def test_communities_both_ways_agree(spark):
     assert (check.n_members, check.n_unsettled, check.n_disconnected) == (24, 0, 0)
 
 
+def test_parts_end_where_ids_are_open_in_the_same_turns(spark):
+    """Nodes whose numbers differ by multiples of 1009 share every turn; both ways of refining end and agree."""
+    def stop(*_):
+        raise TimeoutError("no end")
+
+    ids = 1009 * np.arange(3)
+    rows = [(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0)]
+    a, b, w = (np.array(x) for x in zip(*rows))
+    k = np.bincount(a, weights=w)
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(20)
+    try:
+        got = states._Graph(ids, a, b, w, k, 100.0, 1.0, 0).refine(np.zeros(3, np.int64))
+        signal.alarm(600)
+        links = spark.createDataFrame([(int(ids[x]), int(ids[y]), z) for x, y, z in rows], "a long, b long, weight double")
+        state = spark.createDataFrame([(int(i), "x", float(s), 100.0, 1.0, 0, 0) for i, s in zip(ids, k)],
+                                      "node long, lineage string, k double, m2 double, resolution double, seed long, community long")
+        joined = {r.node: r.part for r in states._refined(state, links).collect()}
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert joined == {int(i): int(ids[p]) for i, p in zip(ids, got)} and len(set(joined.values())) == 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_no_single_move_raises_modularity(seed):
     """Random weighted graphs with loops: settled, connected, and at least as good as the planted groups."""
