@@ -3,6 +3,11 @@
 The general form works on whole frames: a hop is one join of the moving rows with the edges and one
 partially aggregated shuffle, so nothing depends on how large one connected piece is. Graphs whose
 checked size is small go through one grouped task per piece instead.
+
+Where the nodes have numbers that grow along every edge, a large graph is cut into bands of them instead, with
+about as many edges each. Bands follow one another: what arrives in a band is spread inside it by grouped tasks
+(one per piece and bucket of tags) and then sent on along the edges that leave it. So the rounds are as many as the
+bands, not the edges of the longest path, and every row is written when it is final.
 """
 
 from __future__ import annotations
@@ -20,26 +25,67 @@ from arbora.core import at_most, empty_frame, materialize, shuffle_partitions
 HOPS_PER_JOB = 5
 SMALL_EDGES = 100_000
 SMALL_PRODUCT = 50_000_000
+BAND_EDGES = 300_000
+BUCKET_TAGS = 100  # seeds per task of a band, if they have tags
 
 
 def spread(seeds: DataFrame, edges: DataFrame, tags=(), sums=("mass",), mins=(),
-           small_edges: int = SMALL_EDGES) -> DataFrame:
+           small_edges: int = SMALL_EDGES, band_edges: int = BAND_EDGES) -> DataFrame:
     """Accumulate at every node what reaches it from the seeds over all directed paths.
 
     `seeds`: piece, node, tags, values. `edges`: piece, source, target, share. Edges stay inside a
     piece. A value in `sums` is multiplied by `share` and added up; one in `mins` keeps its minimum.
-    The graph must have no cycle. Result: piece, node, tags, values.
+    The graph must have no cycle. Result: piece, node, tags, values. Large graphs go by bands if `seeds` have the
+    number of their node as `at` and `edges` those of source and target as `at` and `to`, with at < to everywhere.
     """
-    seeds = seeds.select("piece", "node", *tags, *sums, *mins)
-    edges = edges.select("piece", "source", "target", F.col("share").cast("double"))
+    ordered = "at" in seeds.columns
+    seeds = seeds.select("piece", "node", *tags, *sums, *mins, *["at"] * ordered)
+    edges = edges.select("piece", "source", "target", F.col("share").cast("double"), *["at", "to"] * ordered)
+    lists = list(tags), list(sums), list(mins)
     if at_most(edges, small_edges):
         n_edges, n_seeds = edges.count(), seeds.count() if tags else 1
         if n_edges * n_seeds <= SMALL_PRODUCT:
-            return materialize(_spread_pieces(seeds, edges, list(tags), list(sums), list(mins)))
-    return _spread_hops(seeds, edges, list(tags), list(sums), list(mins))
+            return materialize(_spread_pieces(seeds.drop("at"), edges.drop("at", "to"), *lists))
+    if ordered and _one_number_each(seeds, edges):
+        return _spread_bands(seeds, edges, *lists, band_edges)
+    return _spread_hops(seeds.drop("at"), edges.drop("at", "to"), *lists)
+
+
+def _one_number_each(seeds, edges) -> bool:
+    """Whether no node has two numbers (ids may repeat); otherwise bands would part what belongs together."""
+    numbers = seeds.select("node", "at").unionByName(edges.select(F.col("source").alias("node"), "at")).unionByName(
+        edges.select(F.col("target").alias("node"), F.col("to").alias("at")))
+    return numbers.groupBy("node").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").isEmpty()
+
+
+def _spread_bands(seeds, edges, tags, sums, mins, band_edges) -> DataFrame:
+    """Bands in the order of the numbers; what a band sends on is added up per node before it is written."""
+    n_bands = -(-edges.count() // band_edges)
+    cuts = edges.approxQuantile("at", [i / n_bands for i in range(1, n_bands)], 0.001) if n_bands > 1 else []
+    cuts = sorted(set(cuts))
+    ends = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    band = lambda c: F.size(F.filter(ends, lambda x: x < F.col(c)))
+    edges = materialize(edges.select("piece", "source", "target", "share", band("at").alias("_from"), band("to").alias("_to")))
+    seeds = materialize(seeds.withColumn("_to", band("at")).drop("at"))
+    buckets = max(1, -(-seeds.count() // BUCKET_TAGS)) if tags else 1
+    names = ["piece", "node", *tags, *sums, *mins]
+    sent, done = [seeds.select(*names, "_to")], []
+    for b in range(len(cuts) + 1):
+        arrived = functools.reduce(DataFrame.unionByName, [m.where(F.col("_to") == b) for m in sent]).drop("_to")
+        inside = edges.where((F.col("_from") == b) & (F.col("_to") == b)).select("piece", "source", "target", "share")
+        settled = materialize(_spread_pieces(arrived, inside, tags, sums, mins, buckets))
+        done.append(settled)
+        if b == len(cuts):
+            break
+        leaving = edges.where((F.col("_from") == b) & (F.col("_to") > b)).select("source", "target", "share", "_to")
+        moved = settled.join(leaving, settled["node"] == leaving["source"]).select(
+            "piece", F.col("target").alias("node"), *tags, *[(F.col(v) * F.col("share")).alias(v) for v in sums], *mins, "_to")
+        sent.append(materialize(moved.groupBy("piece", "node", *tags, "_to").agg(
+            *[F.sum(v).alias(v) for v in sums], *[F.min(v).alias(v) for v in mins]).select(*names, "_to")))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
-def _spread_pieces(seeds, edges, tags, sums, mins) -> DataFrame:
+def _spread_pieces(seeds, edges, tags, sums, mins, buckets: int = 1) -> DataFrame:
     names = ["piece", "node", *tags, *sums, *mins]
     types = {f.name: f.dataType.simpleString() for f in seeds.schema}
     schema = ", ".join(f"{n} {types[n] if n not in sums else 'double'}" for n in names)
@@ -69,7 +115,11 @@ def _spread_pieces(seeds, edges, tags, sums, mins) -> DataFrame:
             moving = collapse(moved)
         return collapse(pd.concat(waves, ignore_index=True)).assign(piece=piece)[names]
 
-    return seeds.groupBy("piece").cogroup(edges.groupBy("piece")).applyInPandas(walk, schema)
+    if buckets == 1:
+        return seeds.groupBy("piece").cogroup(edges.groupBy("piece")).applyInPandas(walk, schema)
+    seeds = seeds.withColumn("_bucket", F.pmod(F.xxhash64(*tags), F.lit(buckets)))
+    edges = edges.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return seeds.groupBy("piece", "_bucket").cogroup(edges.groupBy("piece", "_bucket")).applyInPandas(walk, schema)
 
 
 def _spread_hops(seeds, edges, tags, sums, mins) -> DataFrame:

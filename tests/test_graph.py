@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.core import ContractError
-from arbora.operators import markov, states, tree
+from arbora.operators import markov, propagate, states, tree
 from arbora.operators.neighbors import bounded_adjacency, local_scales, nearest, undirected
 from arbora.operators.propagate import follow_parents, spread
 
@@ -83,6 +83,22 @@ def test_spread_both_ways_agree(spark):
     assert len(a) == len(b) and np.allclose(a[["node", "tag", "mass", "low"]], b[["node", "tag", "mass", "low"]])
 
 
+def test_spread_by_bands_agrees_and_makes_no_hops(spark, monkeypatch):
+    """A path as long as the graph takes as many rounds as there are bands; tags go into buckets."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b), float(rng.random()), float(a // 2), float(b // 2)) for a in range(58)
+            for b in rng.choice(np.arange(a + 2 - a % 2, 62), 2, replace=False)]
+    edges = spark.createDataFrame([("p", *r) for r in rows], "piece string, source long, target long, share double, at double, to double")
+    seeds = spark.createDataFrame([("p", i, i % 5, 1.0, float(i), float(i // 2)) for i in range(9)],
+                                  "piece string, node long, tag long, mass double, low double, at double")
+    a = spread(seeds, edges, ["tag"], ["mass"], ["low"])
+    monkeypatch.setattr(propagate, "_spread_hops", None)
+    monkeypatch.setattr(propagate, "BUCKET_TAGS", 2)
+    b = spread(seeds, edges, ["tag"], ["mass"], ["low"], small_edges=0, band_edges=25)
+    a, b = (x.toPandas().sort_values(["node", "tag"], ignore_index=True) for x in (a, b))
+    assert len(a) == len(b) and np.allclose(a[["node", "tag", "mass", "low"]], b[["node", "tag", "mass", "low"]])
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_follow_parents(spark, small):
     rng = np.random.default_rng(3)
