@@ -102,14 +102,20 @@ def candidate_graph(nodes: DataFrame, k: int = 10, window: float = 0.5, mutual_b
     return materialize(weighted_edges(edges, mutual_bonus, temperature))
 
 
+def _stages(edges: DataFrame, sign: int = 1, **names) -> list:
+    """Stages as the numbers that `spread` cuts into bands; none where the edges do not hold them."""
+    held = {"source_stage", "target_stage"} <= set(edges.columns)
+    return [(sign * F.col(c).cast("double")).alias(n) for n, c in names.items()] if held else []
+
+
 def node_flow(roots: DataFrame, edges: DataFrame, **how) -> DataFrame:
     """Share of its lineage's mass that passes through each node (node_id, flow)."""
     seeds = roots.select(F.col("lineage").alias("piece"), F.col("node_id").alias("node"),
-                         F.col("root_share").alias("mass"), F.col("stage").cast("double").alias("at"))
+                         F.col("root_share").alias("mass"), *_stages(edges, at="stage"))
     links = edges.select(F.col("lineage").alias("piece"), F.col("source_id").alias("source"),
                          F.col("target_id").alias("target"),
                          F.col("transition_probability").alias("share"),
-                         F.col("source_stage").cast("double").alias("at"), F.col("target_stage").cast("double").alias("to"))
+                         *_stages(edges, at="source_stage", to="target_stage"))
     return spread(seeds, links, **how).select(F.col("node").alias("node_id"), F.col("mass").alias("flow"))
 
 
@@ -139,10 +145,10 @@ def fates(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     """Probability of ending in each reachable sink (node_id, terminal_node_id, fate_probability)."""
     ends = sinks(nodes, edges)
     seeds = ends.select(F.col("lineage").alias("piece"), F.col("node_id").alias("node"),
-                        F.col("node_id").alias("terminal"), F.lit(1.0).alias("mass"), (-F.col("stage").cast("double")).alias("at"))
+                        F.col("node_id").alias("terminal"), F.lit(1.0).alias("mass"), *_stages(edges, -1, at="stage"))
     back = edges.select(F.col("lineage").alias("piece"), F.col("target_id").alias("source"), F.col("source_id").alias("target"),
                         F.col("transition_probability").alias("share"),
-                        (-F.col("target_stage").cast("double")).alias("at"), (-F.col("source_stage").cast("double")).alias("to"))
+                        *_stages(edges, -1, at="target_stage", to="source_stage"))
     raw = spread(seeds, back, tags=["terminal"], **how)
     totals = raw.groupBy("node").agg(F.sum("mass").alias("_total"))
     return raw.join(totals, "node").select(
