@@ -3,8 +3,8 @@
 Only groups under one parent can merge, and a merge changes nothing but the groups below it and the
 parent's own list. So all parents at the greatest open depth of their tree work at the same time; a
 parent is done when its list offers no pair, and a merge that touched a group with children reopens
-that group. Trees whose checked size is small run as one task each; otherwise a round is a handful of
-joins over all open parents.
+that group. Trees whose checked size is small run as one task each, however many trees there are; a round of
+the other trees is a handful of joins over all their open parents.
 
 A parent with very many children takes many merges per round: its cheapest pairs are found by block
 pairs, the merges they lead to are played through among their ends, and every group so made is then
@@ -19,13 +19,15 @@ smallest next merge goes on. So a merge comes at the place of the largest merge
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbora.core import at_most, empty_frame, is_empty, materialize
+from arbora.core import empty_frame, is_empty, materialize
 from arbora.operators.contract import group_edges, group_nodes, number_groups
 from arbora.operators.ordering import number_rows, running_max
 from arbora.operators.propagate import follow_parents
@@ -173,13 +175,28 @@ def merge_siblings(nodes: DataFrame, groups: DataFrame, edges: DataFrame, max_di
                    child_rows: int = CHILD_ROWS) -> tuple[DataFrame, DataFrame]:
     """New partition (node_id, head_id) and the history of merges."""
     limits = Limits(max_distance, max_gap)
-    state = start_groups(nodes, groups, edges)
-    run = _merge_small if at_most(state, small_groups) else _merge_rounds
-    moved, history = run(state, limits, child_rows)
+    small, large = _by_size(start_groups(nodes, groups, edges), small_groups, child_rows)
+    done = [run(state, limits, child_rows) for run, state in ((_merge_small, small), (_merge_rounds, large)) if state is not None]
+    moved, history = (functools.reduce(DataFrame.unionByName, parts) for parts in zip(*done))
     outer = moved.withColumnRenamed("head", "head_id")
     result = groups.join(outer, "head_id", "left").select(
         "node_id", F.coalesce("survivor", "head_id").alias("head_id"))
-    return materialize(result), history
+    return materialize(result), _ordered(history if len(done) == 1 else materialize(history))
+
+
+def _by_size(state: DataFrame, small_groups: int, child_rows: int):
+    """The groups of trees that one task can take, and those of the others; None where there are none.
+
+    Merges never lengthen a list of children, since one of two merged groups has none.
+    """
+    lists = state.where("parent is not null").groupBy("unit", "parent").agg(F.count("*").alias("_children"))
+    wide = lists.where(F.col("_children") > child_rows).select("unit")
+    long = state.groupBy("unit").agg(F.count("*").alias("_groups")).where(F.col("_groups") > small_groups).select("unit")
+    large = materialize(wide.unionByName(long).distinct())
+    if is_empty(large):
+        return state, None
+    rest = materialize(state.join(large, "unit", "left_anti"))
+    return None if is_empty(rest) else rest, materialize(state.join(large, "unit", "left_semi"))
 
 
 def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
@@ -234,7 +251,7 @@ def _merge_small(state: DataFrame, limits: Limits, child_rows: int):
 
     found = materialize(state.groupBy("unit").applyInPandas(tree, schema))
     return (found.where("head is not null").select("head", "survivor"),
-            _ordered(found.where("head is null").drop("head", "survivor")))
+            found.where("head is null").drop("head", "survivor"))
 
 
 def _ordered(history: DataFrame) -> DataFrame:
@@ -326,7 +343,7 @@ def _merge_rounds(state: DataFrame, limits: Limits, child_rows: int):
     history = histories[0] if histories else spark.createDataFrame([], HISTORY)
     for h in histories[1:]:
         history = history.unionByName(h)
-    return survivors, _ordered(materialize(history))
+    return survivors, materialize(history)
 
 
 def _merge_list(pdf: pd.DataFrame, g: dict, wave: int, limits: Limits, **more):

@@ -155,6 +155,25 @@ def test_sibling_merges_of_many_children(spark, seed, child_rows):
     assert histories_agree(single, history, merges)
 
 
+@pytest.mark.parametrize("less", [0, 1])
+def test_only_large_trees_go_by_rounds(spark, monkeypatch, less):
+    """A forest larger than the limit whose trees are not larger takes no rounds; its largest tree alone does otherwise."""
+    rows, parent = random_tree(10, 50)
+    root = {i: i for i in range(3)}
+    for i in range(3, 50):
+        root[i] = root[parent[i]]
+    largest = max(list(root.values()).count(r) for r in range(3))
+    nodes, edges = frames(spark, rows, parent)
+    single = materialize(nodes.select("node_id", F.col("node_id").alias("head_id")))
+    want, merges = plain_siblings(rows, parent, [[r[0]] for r in rows], .7, 4.0)
+    seen, by_rounds = [], siblings._merge_rounds
+    monkeypatch.setattr(siblings, "_merge_rounds", lambda state, *more: (seen.append(state.count()), by_rounds(state, *more))[1])
+    got, history = siblings.merge_siblings(nodes, single, edges, .7, 4.0, small_groups=largest - less)
+    assert largest < 50 and seen == [largest] * less
+    assert partition(got) == sorted(sorted(g) for g in want)
+    assert histories_agree(single, history, merges)
+
+
 def test_chain_stops_at_span_inclusive(spark):
     v = [1.0, 0.0, 0.0, 0.0, 0.0]
     rows = [(i, "l", float(i), 1, 1, v) for i in range(5)]
