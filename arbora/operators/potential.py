@@ -7,13 +7,15 @@ embedded in one task. A set of no more points than landmarks uses every point as
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.core import ContractError, materialize
-from arbora.operators.neighbors import best_columns, nearest, unit_rows
+from arbora.operators.neighbors import best_columns, nearest, unit_rows, within
 from arbora.operators.sampling import simple_sample
 
 # Kernel weights below this are dropped; added before the logarithm of a probability.
@@ -24,22 +26,18 @@ LANDMARKS = 2000
 def decay_graph(points: DataFrame, knn: int = 5, decay: float = 40.0) -> DataFrame:
     """Symmetric kernel (a, b, w), both directions and loops.
 
-    The width of a point is the distance to its knn-th neighbour. Lists are lengthened until the last
-    entry of each is too far away to matter.
+    The width of a point is the distance to its knn-th neighbour. A second search then returns just the
+    others that are near enough to matter, however many a point has.
     """
     n = points.count()
     flat = points.select("id", F.lit("all").alias("lineage"), "embedding")
-    k = min(n - 1, 4 * knn)
-    while True:
-        found = materialize(nearest(flat, k).select(
-            "id", "other", "rank", F.greatest(F.lit(0.0), 1 - F.col("similarity")).alias("d")))
-        widths = found.where(F.col("rank") == min(knn, n - 1)).select(
-            "id", F.greatest("d", F.lit(1e-12)).alias("width"))
-        rated = found.join(widths, "id").withColumn(
-            "w", F.exp(-F.pow(F.col("d") / F.col("width"), F.lit(float(decay)))))
-        if k >= n - 1 or rated.where((F.col("rank") == k) & (F.col("w") > LEAST_WEIGHT)).isEmpty():
-            break
-        k = min(n - 1, 2 * k)
+    order = min(knn, n - 1)
+    last = nearest(flat, order).where(F.col("rank") == order)
+    widths = materialize(last.select("id", F.greatest(F.lit(0.0), 1 - F.col("similarity"), F.lit(1e-12)).alias("width")))
+    reach = (-math.log(LEAST_WEIGHT)) ** (1 / decay) * (1 + 1e-9)
+    found = within(flat.join(widths, "id").withColumn("reach", F.col("width") * F.lit(reach)), "reach")
+    rated = materialize(found.select("id", "other", "width", F.greatest(F.lit(0.0), 1 - F.col("similarity")).alias("d")))
+    rated = rated.withColumn("w", F.exp(-F.pow(F.col("d") / F.col("width"), F.lit(float(decay)))))
     kept = rated.where(F.col("w") > LEAST_WEIGHT).select(F.col("id").alias("a"), F.col("other").alias("b"), "w")
     turned = kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
     half = kept.unionByName(turned).groupBy("a", "b").agg((F.sum("w") / 2).alias("w"))

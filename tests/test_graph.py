@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.core import ContractError
-from arbora.operators import markov, propagate, states, tree
+from arbora.operators import markov, neighbors, propagate, states, tree
 from arbora.operators.neighbors import bounded_adjacency, local_scales, nearest, undirected
 from arbora.operators.propagate import follow_parents, spread
 
@@ -47,6 +47,38 @@ def test_duplicates_never_lose_a_neighbour(spark):
     assert local_scales(nearest(df, 3)).toPandas().set_index("id").local_scale[0] == 1e-6
 
 
+def test_best_matches_are_the_best_columns():
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.uniform(-1, 1, (40, 700)), 2) + rng.choice([0, 1e-14], (40, 700))
+    scores[rng.random(scores.shape) < .01] = -np.inf
+    scores[0, 3:] = -np.inf
+    plain = np.where(np.isfinite(scores), np.round(scores, 12), -np.inf)
+    for k in (1, 5, 10, 900):
+        r, c, value = neighbors.best_matches(scores, k)
+        rows, columns = neighbors.best_columns(plain, k)
+        assert (r == rows).all() and (c == columns).all() and (value == plain[r, c]).all()
+
+
+def test_block_pairs_have_partitions_of_their_own(vectors):
+    """As many partitions as block pairs, so that the longest task does not grow with the square of the input."""
+    _, df = vectors
+    pairs = neighbors.block_pairs(df, "lineage", 3)
+    assert pairs.rdd.getNumPartitions() >= pairs.select("lineage", "_low", "_high").distinct().count() > 40
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_within_matches_brute_force(vectors, block_rows):
+    pdf, df = vectors
+    got = neighbors.within(df.withColumn("reach", F.lit(.2) + F.col("id") % 5 / 10).drop("stage"), "reach", block_rows=block_rows)
+    want = set()
+    for _, part in pdf.groupby("lineage"):
+        z = np.stack(part.embedding)
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        sims, ids = np.round(z @ z.T, 12), part.id.to_numpy()
+        want |= {(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if a != b and 1 - sims[i, j] <= .2 + a % 5 / 10}
+    assert len(want) > 100 and sorted((r.id, r.other) for r in got.collect()) == sorted(want)
+
+
 def test_single_member_has_no_neighbours(spark):
     df = spark.createDataFrame([(1, "a", [1.0])], "id long, lineage string, embedding array<double>")
     assert nearest(df, 3).count() == 0
