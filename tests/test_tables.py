@@ -225,6 +225,51 @@ def test_diffusion_map_of_three_parts(spark):
     assert few[0] == pytest.approx(1.0) and len(few) == 3
 
 
+def test_eigenvectors_do_not_depend_on_blocks(spark):
+    """Blocks send each other only what their links read."""
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame(pd.DataFrame({"id": 3 * np.arange(60), "embedding": rng.standard_normal((60, 4)).tolist()}))
+    matrix = diffusion.transition_matrix(diffusion.gaussian_graph(points, 8))
+    one, many = (diffusion.eigenvectors(points.select("id"), matrix, 60, 3, block_places=b)[0].toPandas().sort_values(["component", "id"])
+                 for b in (1000, 7))
+    assert (one.id.to_numpy() == many.id.to_numpy()).all() and np.allclose(one.value, many.value, atol=1e-6)
+
+
+def test_layout_by_blocks(spark):
+    """Epochs over many blocks move every point as one task does, across the end of a job."""
+    rng = np.random.default_rng(13)
+    n, epochs = 50, 3
+    placed = spark.createDataFrame(pd.DataFrame({"id": 2 * np.arange(n), "place": np.arange(n), "y": rng.standard_normal((n, 2)).tolist()}))
+    ends = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (120, 2)) if a != b}
+    edges = spark.createDataFrame([(2 * a, 2 * b, .5 + a % 3 / 4) for a, b in sorted(ends)], "left_id long, right_id long, weight double")
+    layout.EPOCHS_PER_JOB, kept = 2, layout.EPOCHS_PER_JOB
+    try:
+        got = [np.stack(f.toPandas().sort_values("id").y) for f in (layout._move_rounds(placed, edges, 2, epochs, 7),
+                                                                    layout._move_small(placed, edges, 2, epochs))]
+    finally:
+        layout.EPOCHS_PER_JOB = kept
+    assert np.allclose(*got, atol=1e-9)
+
+
+def test_decay_graph_of_long_lists(spark, monkeypatch):
+    """A point with very many near others costs its own pairs alone, not longer lists of all points."""
+    rng = np.random.default_rng(14)
+    x = np.vstack([np.c_[np.ones(60), 1e-3 * rng.standard_normal((60, 3)).round(0)], rng.standard_normal((40, 4))])
+    x[:60, 1] += 1
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(100), "embedding": x.tolist()}))
+    asked, plain = [], potential.nearest
+    monkeypatch.setattr(potential, "nearest", lambda p, k, *more: (asked.append(k), plain(p, k, *more))[1])
+    got = {(r.a, r.b): r.w for r in potential.decay_graph(points, 5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.maximum(0, 1 - np.round(np.clip(u @ u.T, -1, 1), 12))
+    np.fill_diagonal(d, np.inf)
+    w = np.exp(-(d / np.maximum(np.sort(d, axis=1)[:, 4:5], 1e-12)) ** 40)
+    w[w <= potential.LEAST_WEIGHT] = 0
+    w = (w + w.T) / 2 + np.eye(100)
+    assert asked == [5] and (w > 0).sum(1).max() > 40
+    assert got.keys() == {(a, b) for a, b in zip(*np.nonzero(w))} and all(v == pytest.approx(w[k]) for k, v in got.items())
+
+
 def test_display_layout(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([c + .1 * rng.standard_normal((15, 6)) for c in 3 * np.eye(6)[:3]])
