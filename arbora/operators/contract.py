@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import ContractError, materialize
+from arbora.core import ContractError, materialize, shuffled
 from arbora.functions.vectors import dimension, mean_vector
 from arbora.operators.composition import dominant, regroup
 from arbora.operators.ordering import number_rows
@@ -33,16 +33,16 @@ def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Result: node_id, chain_id (first node), place (0 = first), is_anchor. Upstream anchors stay out.
     """
     d = materialize(degrees(nodes.select("node_id"), edges).join(
-        edges.select(F.col("child_id").alias("node_id"), "parent_id"), "node_id", "left").withColumn(
+        shuffled(edges.select(F.col("child_id").alias("node_id"), "parent_id")), "node_id", "left").withColumn(
         "inner", (F.col("in_degree") == 1) & (F.col("out_degree") == 1)))
     above = d.select(F.col("node_id").alias("parent_id"), F.col("inner").alias("parent_inner"))
     # A node takes part if it is inner, or if it is the anchor right below an inner node.
-    part = d.join(above, "parent_id", "left").where(
+    part = d.join(shuffled(above), "parent_id", "left").where(
         F.col("inner") | F.coalesce("parent_inner", F.lit(False)))
     links = part.select(F.col("node_id").alias("node"),
                         F.when(F.col("parent_inner"), F.col("parent_id")).alias("parent"))
     heads = follow_parents(links)
-    return heads.join(part.select(F.col("node_id").alias("node"), "inner"), "node").select(
+    return heads.join(shuffled(part.select(F.col("node_id").alias("node"), "inner")), "node").select(
         F.col("node").alias("node_id"), F.col("root").alias("chain_id"), F.col("depth").alias("place"),
         (~F.col("inner")).alias("is_anchor"))
 
@@ -57,7 +57,7 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
     last, still open run.
     """
     rows = materialize(placed.select("node_id", "chain_id", "place").join(
-        nodes.select("node_id", "stage", "n_cells", "embedding"), "node_id"))
+        shuffled(nodes.select("node_id", "stage", "n_cells", "embedding")), "node_id"))
     lengths = rows.groupBy("chain_id").agg(F.count("*").alias("length"))
     starts = lengths.withColumn("start", F.lit(0).cast("long"))
 
@@ -86,7 +86,7 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
 
     parts = []
     while True:
-        window = rows.join(starts, "chain_id").where(
+        window = rows.join(shuffled(starts), "chain_id").where(
             (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + chain_rows))
         found = materialize(window.groupBy("chain_id").applyInPandas(
             runs, "node_id long, head_id long, chain_id long, place long, closed boolean"))
@@ -95,7 +95,7 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
         if unfinished.isEmpty():
             break
         rest = unfinished.groupBy("chain_id").agg(F.min("place").alias("start"))
-        starts = materialize(rest.join(lengths, "chain_id"))
+        starts = materialize(rest.join(shuffled(lengths), "chain_id"))
         if found.where("closed").isEmpty():
             chain_rows *= 4  # one run fills the whole window: look farther ahead
     result = parts[0]
@@ -108,7 +108,7 @@ def path_groups(nodes: DataFrame, edges: DataFrame, max_distance: float, max_spa
                 chain_rows: int = CHAIN_ROWS) -> DataFrame:
     """Partition of all nodes by one pass of path contraction: node_id, head_id."""
     runs = partition_chains(chains(nodes, edges), nodes, max_distance, max_span, chain_rows)
-    alone = nodes.select("node_id").join(runs, "node_id", "left")
+    alone = nodes.select("node_id").join(shuffled(runs), "node_id", "left")
     return materialize(alone.select("node_id", F.coalesce("head_id", "node_id").alias("head_id")))
 
 
@@ -118,7 +118,7 @@ def group_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     The vector is the plain weighted mean, not scaled to length one.
     """
     width = dimension(nodes, "embedding")
-    return nodes.join(groups, "node_id").groupBy("head_id").agg(
+    return nodes.join(shuffled(groups), "node_id").groupBy("head_id").agg(
         F.min("lineage").alias("lineage"), F.sum("n_cells").alias("n_cells"),
         (F.sum(F.col("stage") * F.col("n_cells")) / F.sum("n_cells")).alias("stage"),
         F.min("node_id").alias("min_source"), F.count("*").alias("n_sources"),
@@ -129,7 +129,7 @@ def group_edges(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between different groups, once each (parent_id, child_id are heads)."""
     up = groups.select(F.col("node_id").alias("parent_id"), F.col("head_id").alias("_p"))
     down = groups.select(F.col("node_id").alias("child_id"), F.col("head_id").alias("_c"))
-    return (edges.select("parent_id", "child_id").join(up, "parent_id").join(down, "child_id")
+    return (edges.select("parent_id", "child_id").join(shuffled(up), "parent_id").join(shuffled(down), "child_id")
             .where("_p <> _c").select(F.col("_p").alias("parent_id"), F.col("_c").alias("child_id"))
             .distinct())
 
@@ -140,12 +140,12 @@ def second_path_pass(nodes: DataFrame, groups: DataFrame, edges: DataFrame, max_
     pseudo = materialize(group_nodes(nodes, groups).withColumnRenamed("head_id", "node_id"))
     again = path_groups(pseudo, materialize(group_edges(groups, edges)), max_distance, max_span)
     outer = again.select(F.col("node_id").alias("head_id"), F.col("head_id").alias("outer"))
-    return materialize(groups.join(outer, "head_id").select("node_id", F.col("outer").alias("head_id")))
+    return materialize(groups.join(shuffled(outer), "head_id").select("node_id", F.col("outer").alias("head_id")))
 
 
 def number_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """Final ids by (lineage, earliest member stage, lowest member id): head_id, contracted_node_id."""
-    keyed = nodes.join(groups, "node_id").groupBy("head_id").agg(
+    keyed = nodes.join(shuffled(groups), "node_id").groupBy("head_id").agg(
         F.min("lineage").alias("lineage"), F.min("stage").alias("first_stage"),
         F.min("node_id").alias("first_id"))
     return number_rows(materialize(keyed), [], ["lineage", "first_stage", "first_id"],
@@ -155,12 +155,12 @@ def number_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 def source_mapping(nodes: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
     """source_node_id, contracted_node_id, position inside it by (stage, id), and whether the source
     was an anchor of the original tree."""
-    numbered = groups.join(number_groups(nodes, groups), "head_id").join(
-        nodes.select("node_id", "stage"), "node_id")
+    numbered = groups.join(shuffled(number_groups(nodes, groups)), "head_id").join(
+        shuffled(nodes.select("node_id", "stage")), "node_id")
     placed = number_rows(materialize(numbered), ["contracted_node_id"], ["stage", "node_id"],
                          "position_within_contracted_node")
     marked = anchors(nodes, edges).withColumn("_anchor", F.lit(True))
-    return placed.join(marked, "node_id", "left").select(
+    return placed.join(shuffled(marked), "node_id", "left").select(
         F.col("node_id").alias("source_node_id"), "contracted_node_id",
         "position_within_contracted_node", F.coalesce("_anchor", F.lit(False)).alias("source_was_anchor"))
 
@@ -173,7 +173,7 @@ def contracted_nodes(nodes: DataFrame, mapping: DataFrame, comp: DataFrame | Non
     low = "min_stage" if "min_stage" in nodes.columns else "stage"
     high = "max_stage" if "max_stage" in nodes.columns else "stage"
     weighted = F.sum(F.col("stage") * F.col("n_cells")) / F.sum("n_cells")
-    rows = nodes.join(m, "node_id").groupBy(F.col("contracted_node_id")).agg(
+    rows = nodes.join(shuffled(m), "node_id").groupBy(F.col("contracted_node_id")).agg(
         F.min("lineage").alias("lineage"), F.count("*").alias("n_source_nodes"),
         F.sum("n_metacells").alias("total_metacells"), F.sum("n_cells").alias("total_cells"),
         (F.sum(F.col(plain) * F.col("n_metacells")) / F.sum("n_metacells")).alias("mean_stage"),
@@ -189,7 +189,7 @@ def contracted_nodes(nodes: DataFrame, mapping: DataFrame, comp: DataFrame | Non
     top = dominant(regroup(comp, m, "node_id", "contracted_node_id"), "contracted_node_id").select(
         F.col("contracted_node_id").alias("node_id"), "dominant_celltype",
         F.col("dominant_celltype_count").alias("dominant_celltype_cells"), "celltype_purity")
-    return rows.join(top, "node_id", "left")
+    return rows.join(shuffled(top), "node_id", "left")
 
 
 def rebuilt_tree(contracted: DataFrame, old_nodes: DataFrame, old_edges: DataFrame,
@@ -216,7 +216,7 @@ def rebuilt_tree(contracted: DataFrame, old_nodes: DataFrame, old_edges: DataFra
     moved = (old_edges.select(F.col("parent_id").alias("source_parent_id"),
                               F.col("child_id").alias("source_child_id"), "lineage", "edge_kind",
                               "virtual_edge", F.col("parent_stage").alias("_old_stage"))
-             .join(up, "source_parent_id").join(down, "source_child_id").where("parent_id <> child_id"))
+             .join(shuffled(up), "source_parent_id").join(shuffled(down), "source_child_id").where("parent_id <> child_id"))
     first = F.struct("_old_stage", "source_parent_id", "source_child_id", "lineage", "edge_kind",
                      "virtual_edge")
     kept = moved.groupBy("parent_id", "child_id").agg(F.min(first).alias("_first")).select(
@@ -224,10 +224,10 @@ def rebuilt_tree(contracted: DataFrame, old_nodes: DataFrame, old_edges: DataFra
         F.when(F.col("_first.virtual_edge"), F.col("_first.edge_kind")).otherwise("contracted_tree")
         .alias("edge_kind"), "_first.virtual_edge", "_first.source_parent_id", "_first.source_child_id")
     stage = nodes.select("node_id", "tree_stage")
-    edges = (kept.join(stage.select(F.col("node_id").alias("parent_id"),
-                                    F.col("tree_stage").alias("parent_stage")), "parent_id")
-             .join(stage.select(F.col("node_id").alias("child_id"),
-                                F.col("tree_stage").alias("child_stage")), "child_id")
+    edges = (kept.join(shuffled(stage.select(F.col("node_id").alias("parent_id"),
+                                             F.col("tree_stage").alias("parent_stage"))), "parent_id")
+             .join(shuffled(stage.select(F.col("node_id").alias("child_id"),
+                                         F.col("tree_stage").alias("child_stage"))), "child_id")
              .withColumn("stage_delta", F.col("child_stage") - F.col("parent_stage")))
     return nodes, edges
 

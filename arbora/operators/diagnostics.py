@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.core import shuffled
 from arbora.functions.scalars import ratio
 from arbora.operators.ordering import quantiles
 from arbora.operators.tree import REAL
@@ -20,7 +21,8 @@ def edge_gaps(nodes: DataFrame, edges: DataFrame, threshold: float = 1.0) -> Dat
                       F.col("cell_weighted_mean_stage").alias("parent_stage"))
     down = stage.select(F.col("node_id").alias("child_id"),
                         F.col("cell_weighted_mean_stage").alias("child_stage"))
-    return (edges.select("parent_id", "child_id", "lineage").join(up, "parent_id").join(down, "child_id")
+    return (edges.select("parent_id", "child_id", "lineage")
+            .join(shuffled(up), "parent_id").join(shuffled(down), "child_id")
             .withColumn("signed_stage_delta", F.col("child_stage") - F.col("parent_stage"))
             .withColumn("stage_gap", F.abs("signed_stage_delta"))
             .withColumn("below_threshold", F.col("stage_gap") < threshold))
@@ -31,7 +33,7 @@ def terminals(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
     real = nodes.where(F.col("node_type") == REAL)
     keep = [c for c in ("dominant_celltype", "celltype_purity") if c in nodes.columns]
     parents = gaps.select(F.col("parent_id").alias("node_id")).distinct()
-    return real.join(parents, "node_id", "left_anti").select(
+    return real.join(shuffled(parents), "node_id", "left_anti").select(
         "node_id", "lineage", F.col("cell_weighted_mean_stage").alias("terminal_stage"), "n_cells", *keep)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import ContractError, materialize
+from arbora.core import ContractError, materialize, shuffled
 from arbora.operators.neighbors import BLOCK_ROWS, nearest
 from arbora.operators.ordering import quantiles
 from arbora.operators.propagate import spread
@@ -59,7 +59,7 @@ def candidate_edges(nodes: DataFrame, neighbours: DataFrame, window: float = 0.5
                         F.col("other_stage").alias("source_stage"), F.col("stage").alias("target_stage"),
                         F.lit(False).alias("mutual_knn"), F.lit(True).alias("fallback_edge"))
                 .join(starts, "lineage").where(late).drop("first_stage")
-                .join(reached, "target_id", "left_anti"))
+                .join(shuffled(reached), "target_id", "left_anti"))
     return edges.unionByName(fallback).select(
         "source_id", "target_id", "cosine_similarity", "knn_memberships", "mutual_knn",
         "fallback_edge", "lineage", "source_stage", "target_stage",
@@ -88,7 +88,7 @@ def weighted_edges(edges: DataFrame, mutual_bonus: float = 1.5, temperature: flo
     weighted = warmed.withColumn(
         "raw_weight", F.when(F.col("mutual_knn"), heat * mutual_bonus).otherwise(heat))
     totals = weighted.groupBy("source_id").agg(F.sum("raw_weight").alias("_out"))
-    return (weighted.join(totals, "source_id")
+    return (weighted.join(shuffled(totals), "source_id")
             .withColumn("transition_probability", F.col("raw_weight") / F.col("_out"))
             .drop("_out"))
 
@@ -122,7 +122,7 @@ def node_flow(roots: DataFrame, edges: DataFrame, **how) -> DataFrame:
 def edge_flow(edges: DataFrame, flow: DataFrame) -> DataFrame:
     """Add markov_flow = flow of the source x transition probability."""
     at_source = flow.select(F.col("node_id").alias("source_id"), F.col("flow").alias("_flow"))
-    return (edges.join(at_source, "source_id", "left")
+    return (edges.join(shuffled(at_source), "source_id", "left")
             .withColumn("markov_flow", F.coalesce("_flow", F.lit(0.0)) * F.col("transition_probability"))
             .drop("_flow"))
 
@@ -130,7 +130,7 @@ def edge_flow(edges: DataFrame, flow: DataFrame) -> DataFrame:
 def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an outgoing edge."""
     leaving = edges.select(F.col("source_id").alias("node_id")).distinct()
-    return nodes.join(leaving, "node_id", "left_anti")
+    return nodes.join(shuffled(leaving), "node_id", "left_anti")
 
 
 def require_conserved_flow(nodes: DataFrame, edges: DataFrame, flow: DataFrame) -> None:
@@ -196,6 +196,6 @@ def orphans(nodes: DataFrame, edges: DataFrame, window: float = 0.5) -> DataFram
     """Later nodes without a candidate parent; a valid graph has none."""
     roots = early_roots(nodes, window).select("node_id")
     reached = edges.select(F.col("target_id").alias("node_id")).distinct()
-    return nodes.join(roots, "node_id", "left_anti").join(reached, "node_id", "left_anti")
+    return nodes.join(shuffled(roots), "node_id", "left_anti").join(shuffled(reached), "node_id", "left_anti")
 
 

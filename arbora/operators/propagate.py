@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import at_most, empty_frame, materialize, shuffle_partitions
+from arbora.core import at_most, empty_frame, materialize, shuffle_partitions, shuffled
 
 HOPS_PER_JOB = 5
 SMALL_EDGES = 100_000
@@ -36,7 +36,7 @@ def spread(seeds: DataFrame, edges: DataFrame, tags=(), sums=("mass",), mins=(),
     `seeds`: piece, node, tags, values. `edges`: piece, source, target, share. Edges stay inside a
     piece. A value in `sums` is multiplied by `share` and added up; one in `mins` keeps its minimum.
     The graph must have no cycle. Result: piece, node, tags, values. Large graphs go by bands if `seeds` have the
-    number of their node as `at` and `edges` those of source and target as `at` and `to`, with at < to everywhere.
+    number of their node as `at` and `edges` those of source and target as `at` and `to`, unless some edge has at > to.
     """
     ordered = "at" in seeds.columns
     seeds = seeds.select("piece", "node", *tags, *sums, *mins, *["at"] * ordered)
@@ -46,11 +46,16 @@ def spread(seeds: DataFrame, edges: DataFrame, tags=(), sums=("mass",), mins=(),
         n_edges, n_seeds = edges.count(), seeds.count() if tags else 1
         if n_edges * n_seeds <= SMALL_PRODUCT:
             return materialize(_spread_pieces(seeds.drop("at"), edges.drop("at", "to"), *lists))
-    if ordered and _one_number_each(seeds, edges):
+    if ordered and _never_back(edges) and _one_number_each(seeds, edges):
         return _spread_bands(seeds, edges, *lists, band_edges)
     return _spread_hops(seeds.drop("at"), edges.drop("at", "to"), *lists)
 
 
+def _never_back(edges) -> bool:
+    """Whether no edge lacks a number or leads to a smaller one; bands go in the order of the numbers."""
+    return edges.where(F.coalesce(F.col("at") > F.col("to"), F.lit(True))).isEmpty()
+
+
 def _one_number_each(seeds, edges) -> bool:
     """Whether no node has two numbers (ids may repeat); otherwise bands would part what belongs together."""
     numbers = seeds.select("node", "at").unionByName(edges.select(F.col("source").alias("node"), "at")).unionByName(
@@ -78,7 +83,7 @@ def _spread_bands(seeds, edges, tags, sums, mins, band_edges) -> DataFrame:
         if b == len(cuts):
             break
         leaving = edges.where((F.col("_from") == b) & (F.col("_to") > b)).select("source", "target", "share", "_to")
-        moved = settled.join(leaving, settled["node"] == leaving["source"]).select(
+        moved = settled.join(shuffled(leaving), F.col("node") == F.col("source")).select(
             "piece", F.col("target").alias("node"), *tags, *[(F.col(v) * F.col("share")).alias(v) for v in sums], *mins, "_to")
         sent.append(materialize(moved.groupBy("piece", "node", *tags, "_to").agg(
             *[F.sum(v).alias(v) for v in sums], *[F.min(v).alias(v) for v in mins]).select(*names, "_to")))
@@ -140,7 +145,7 @@ def _spread_hops(seeds, edges, tags, sums, mins) -> DataFrame:
             *[F.min(f"{p}_{m}").alias(f"{p}_{m}") for m in mins for p in ("held", "moving")])
 
     def hop(df: DataFrame) -> DataFrame:
-        joined = (df.join(links, df["node"] == links["source"])
+        joined = (df.join(shuffled(links), F.col("node") == F.col("source"))
                   .where(F.col("stays") | F.col(f"moving_{values[0]}").isNotNull()))
         columns = []
         for v in values:
@@ -204,7 +209,7 @@ def follow_parents(links: DataFrame, amount: Column | None = None,
                               F.col("depth").alias("_depth"), F.col("total").alias("_total"),
                               F.col("done").alias("_done"))
         step = materialize(
-            moving.join(target, "pointer").select(
+            moving.join(shuffled(target), "pointer").select(
                 "node", F.col("_next").alias("pointer"), (F.col("depth") + F.col("_depth")).alias("depth"),
                 (F.col("total") + F.col("_total")).alias("total"),
                 F.col("_done").alias("done")))

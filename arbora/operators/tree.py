@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import ContractError, materialize
+from arbora.core import ContractError, materialize, shuffled
 from arbora.functions.scalars import ratio
 from arbora.operators.markov import best_parents, early_roots
 from arbora.operators.ordering import number_rows, quantiles, running_sum
@@ -77,7 +77,7 @@ def tree_nodes(nodes: DataFrame, virtual: DataFrame) -> DataFrame:
 def mark_selected(edges: DataFrame) -> DataFrame:
     """Add selected_tree_edge to the candidate edges."""
     kept = best_parents(edges).select("source_id", "target_id", F.lit(True).alias("_kept"))
-    return (edges.join(kept, ["source_id", "target_id"], "left")
+    return (edges.join(shuffled(kept), ["source_id", "target_id"], "left")
             .withColumn("selected_tree_edge", F.coalesce("_kept", F.lit(False))).drop("_kept"))
 
 
@@ -89,7 +89,7 @@ def check_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     incoming = edges.groupBy(F.col("child_id").alias("node_id")).agg(F.count("*").alias("_in"))
     expected = F.when(F.col("node_type") == "global_root", 0).otherwise(1)
-    degrees = nodes.join(incoming, "node_id", "left").agg(
+    degrees = nodes.join(shuffled(incoming), "node_id", "left").agg(
         F.count_if(F.coalesce("_in", F.lit(0)) != expected).alias("wrong_indegree"),
         F.count("*").alias("n_nodes"))
     shape = edges.agg(F.count("*").alias("n_edges"),
@@ -109,7 +109,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """in_degree and out_degree of every node, zero included."""
     ins = edges.groupBy(F.col("child_id").alias("node_id")).agg(F.count("*").alias("_in"))
     outs = edges.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_out"))
-    return (nodes.join(ins, "node_id", "left").join(outs, "node_id", "left")
+    return (nodes.join(shuffled(ins), "node_id", "left").join(shuffled(outs), "node_id", "left")
             .withColumn("in_degree", F.coalesce("_in", F.lit(0)))
             .withColumn("out_degree", F.coalesce("_out", F.lit(0))).drop("_in", "_out"))
 
@@ -126,7 +126,7 @@ def topology_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def real_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between real nodes."""
-    ids = nodes.where(F.col("node_type") == REAL).select("node_id")
+    ids = shuffled(nodes.where(F.col("node_type") == REAL).select("node_id"))
     return (edges.join(ids.withColumnRenamed("node_id", "parent_id"), "parent_id", "left_semi")
             .join(ids.withColumnRenamed("node_id", "child_id"), "child_id", "left_semi"))
 
@@ -141,15 +141,15 @@ def branch_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "node_id", ((F.col("node_type") != REAL) | (F.col("in_degree") != 1) | (F.col("out_degree") != 1))
         .alias("_key")))
     # An edge is identified by its child; it continues the edge above it unless its parent is a key node.
-    links = edges.join(d.withColumnRenamed("node_id", "parent_id"), "parent_id").select(
+    links = edges.join(shuffled(d.withColumnRenamed("node_id", "parent_id")), "parent_id").select(
         F.col("child_id").alias("node"), F.when(~F.col("_key"), F.col("parent_id")).alias("parent"))
     heads = follow_parents(links)
     placed = edges.select("parent_id", "child_id").join(
-        heads.select(F.col("node").alias("child_id"), F.col("root").alias("first_child"),
-                     (F.col("depth") + 1).alias("step")), "child_id")
+        shuffled(heads.select(F.col("node").alias("child_id"), F.col("root").alias("first_child"),
+                              (F.col("depth") + 1).alias("step"))), "child_id")
     starts = placed.where("step = 1").select(F.col("parent_id").alias("start_node_id"), "first_child")
     numbered = number_rows(materialize(starts), [], ["start_node_id", "first_child"], "segment_id")
-    return placed.join(numbered, "first_child").select(
+    return placed.join(shuffled(numbered), "first_child").select(
         "segment_id", "step", "parent_id", "child_id", "start_node_id")
 
 
@@ -162,7 +162,7 @@ def branch_segments(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None
     optional = "celltype_purity" if "celltype_purity" in nodes.columns else None
     info = nodes.select("node_id", "node_type", "lineage", "tree_stage", "n_cells", "n_metacells",
                         (F.col(optional) if optional else F.lit(None).cast("double")).alias("_purity"))
-    j = members.join(info, "node_id")
+    j = members.join(shuffled(info), "node_id")
     real, n, p = F.col("node_type") == REAL, F.col("n_cells"), F.col("_purity")
     named = F.when(F.col("lineage") != "Global", F.col("lineage"))
     rated = real & p.isNotNull()
@@ -204,12 +204,20 @@ def lineage_summary(nodes: DataFrame, candidates: DataFrame, edges: DataFrame,
 
 
 def _upward(edges: DataFrame, share) -> DataFrame:
+    """Links from child to parent; with the stages of both, if known, as the numbers `spread` cuts into bands."""
+    held = {"parent_stage", "child_stage"} <= set(edges.columns)
+    numbers = [(-F.col(c).cast("double")).alias(n) for n, c in (("at", "child_stage"), ("to", "parent_stage"))] if held else []
     return edges.select(F.lit(0).alias("piece"), F.col("child_id").alias("source"),
-                        F.col("parent_id").alias("target"), share.alias("share"))
+                        F.col("parent_id").alias("target"), share.alias("share"), *numbers)
+
+
+def _at(links: DataFrame) -> list:
+    return [(-F.col("tree_stage").cast("double")).alias("at")] if "at" in links.columns else []
 
 
 def _leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    parents = edges.select(F.col("parent_id").alias("node_id")).distinct()
+    return nodes.join(shuffled(parents), "node_id", "left_anti")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -221,7 +229,7 @@ def _place_leaves(ordered: DataFrame, nodes: DataFrame) -> DataFrame:
     totals = ordered.groupBy("lineage").agg(F.count("*").alias("_leaves"))
     spaced = F.lit(0.05) + F.lit(0.9) * ratio(F.col("_place"), F.col("_leaves") - 1)
     return (ordered.join(totals, "lineage").join(_bands(nodes), "lineage")
-            .select("node_id", (F.col("band") + F.when(F.col("_leaves") == 1, F.lit(0.5)).otherwise(spaced))
+            .select("node_id", "tree_stage", (F.col("band") + F.when(F.col("_leaves") == 1, F.lit(0.5)).otherwise(spaced))
                     .alias("tree_x")))
 
 
@@ -231,11 +239,11 @@ def _with_x(nodes: DataFrame, edges: DataFrame, leaf_x: DataFrame, **how) -> Dat
     A leaf contributes to an ancestor with one over the product of the child counts on the way up.
     """
     fan = edges.groupBy("parent_id").agg(F.count("*").alias("_fan"))
-    up = _upward(edges.join(fan, "parent_id"), 1 / F.col("_fan").cast("double"))
+    up = _upward(edges.join(shuffled(fan), "parent_id"), 1 / F.col("_fan").cast("double"))
     seeds = leaf_x.select(F.lit(0).alias("piece"), F.col("node_id").alias("node"),
-                          F.col("tree_x").alias("mass"))
+                          F.col("tree_x").alias("mass"), *_at(up))
     x = spread(seeds, up, **how).select(F.col("node").alias("node_id"), F.col("mass").alias("tree_x"))
-    return nodes.join(x, "node_id", "left").withColumn("tree_y", F.col("tree_stage"))
+    return nodes.join(shuffled(x), "node_id", "left").withColumn("tree_y", F.col("tree_stage"))
 
 
 def stage_layout(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
@@ -253,22 +261,23 @@ def tidy_layout(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     the parent links.
     """
     leaves = materialize(_leaves(nodes, edges).select("node_id", "lineage", "tree_stage"))
+    up = _upward(edges, F.lit(1.0))
     seeds = leaves.select(F.lit(0).alias("piece"), F.col("node_id").alias("node"), F.lit(1.0).alias("count"),
-                          F.col("tree_stage").alias("stages"), F.col("tree_stage").alias("earliest"))
-    held = spread(seeds, _upward(edges, F.lit(1.0)), sums=("count", "stages"), mins=("earliest",), **how)
+                          F.col("tree_stage").alias("stages"), F.col("tree_stage").alias("earliest"), *_at(up))
+    held = spread(seeds, up, sums=("count", "stages"), mins=("earliest",), **how)
     held = held.select(F.col("node").alias("child_id"), "count", "earliest",
                        (F.col("stages") / F.col("count")).alias("mean_leaf"))
-    down = edges.join(nodes.where("node_type <> 'global_root'").select(
-        F.col("node_id").alias("child_id"), "tree_stage"), "child_id").join(held, "child_id")
+    down = edges.join(shuffled(nodes.where("node_type <> 'global_root'").select(
+        F.col("node_id").alias("child_id"), "tree_stage")), "child_id").join(shuffled(held), "child_id")
     down = down.select("parent_id", "child_id", "tree_stage", "earliest", "mean_leaf", "count")
     lined = running_sum(materialize(down), ["parent_id"],
                         ["tree_stage", "earliest", "mean_leaf", "child_id"], "count", "_upto")
     above = nodes.select(F.col("node_id").alias("parent_id"), "node_type")
-    links = lined.join(above, "parent_id").select(
+    links = lined.join(shuffled(above), "parent_id").select(
         F.col("child_id").alias("node"),
         F.when(F.col("node_type") != "global_root", F.col("parent_id")).alias("parent"),
         (F.col("_upto") - F.col("count")).alias("left_of"))
     places = follow_parents(links, F.col("left_of"))
-    ordered = leaves.join(places.select(F.col("node").alias("node_id"), F.col("total").alias("_place")),
+    ordered = leaves.join(shuffled(places.select(F.col("node").alias("node_id"), F.col("total").alias("_place"))),
                           "node_id")
     return _with_x(nodes, edges, _place_leaves(ordered, nodes), **how)

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.core import ContractError
-from arbora.operators import markov, neighbors, propagate, states, tree
+from arbora.core import ContractError, materialize
+from arbora.operators import contract, diagnostics, markov, neighbors, propagate, states, tree
 from arbora.operators.neighbors import bounded_adjacency, local_scales, nearest, undirected
 from arbora.operators.propagate import follow_parents, spread
 
@@ -59,6 +59,23 @@ def test_best_matches_are_the_best_columns():
         assert (r == rows).all() and (c == columns).all() and (value == plain[r, c]).all()
 
 
+def test_best_of_the_earlier_columns():
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.uniform(-1, 1, (30, 200)), 1) + rng.choice([0, 1e-14], (30, 200))
+    scores[rng.random(scores.shape) < .05] = -np.inf
+    ids, ends = rng.permutation(200), rng.integers(0, 200, 30)
+    ends[:2] = 0, 200
+    r, c, value = neighbors.best_of_first(scores, ends, ids)
+    plain = np.round(scores, 12)
+    want = [(i, min((-plain[i, j], ids[j], j) for j in range(e) if np.isfinite(plain[i, j]))[2]) for i, e in enumerate(ends)
+            if np.isfinite(plain[i, :e]).any()]
+    assert list(zip(r, c)) == want and (value == plain[r, c]).all()
+    rows, columns, _ = neighbors.best_matches(scores, 3, ids)
+    for i in range(30):
+        order = sorted((-plain[i, j], ids[j], j) for j in range(200) if np.isfinite(plain[i, j]))
+        assert columns[rows == i].tolist() == [x[2] for x in order[:3]]
+
+
 def test_block_pairs_have_partitions_of_their_own(vectors):
     """As many partitions as block pairs, so that the longest task does not grow with the square of the input."""
     _, df = vectors
@@ -131,6 +148,45 @@ def test_spread_by_bands_agrees_and_makes_no_hops(spark, monkeypatch):
     assert len(a) == len(b) and np.allclose(a[["node", "tag", "mass", "low"]], b[["node", "tag", "mass", "low"]])
 
 
+def test_an_edge_to_a_smaller_number_keeps_the_hops(spark):
+    edges = spark.createDataFrame([("p", 0, 1, 1.0, 0.0, 5.0), ("p", 1, 2, .5, 5.0, 1.0), ("p", 2, 3, 1.0, 1.0, 7.0)],
+                                  "piece string, source long, target long, share double, at double, to double")
+    seeds = spark.createDataFrame([("p", 0, 1.0, 0.0)], "piece string, node long, mass double, at double")
+    got = {r.node: r.mass for r in spread(seeds, edges, small_edges=0, band_edges=1).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: .5, 3: .5}
+
+
+def own_tree(spark, n=80):
+    """Written nodes and edges of a tree of two lineages under virtual roots."""
+    rng = np.random.default_rng(7)
+    kind, stage = ["temporal_node"] * n + ["lineage_root"] * 2 + ["global_root"], [*np.sort(rng.uniform(0, 20, n)), -1.0, -1.0, -2.0]
+    lineage = [f"l{i % 2}" for i in range(n + 2)] + ["Global"]
+    parent = {i: i % 2 + 2 * int(rng.integers(max(0, i // 2 - 6), i // 2)) if i > 1 else n + i for i in range(n)} | {n: n + 2, n + 1: n + 2}
+    nodes = [(i, lineage[i], kind[i], float(stage[i]), float(stage[i])) for i in range(n + 3)]
+    edges = [(p, c, lineage[c], float(stage[p]), float(stage[c])) for c, p in parent.items()]
+    return (materialize(spark.createDataFrame(nodes, "node_id long, lineage string, node_type string, tree_stage double, cell_weighted_mean_stage double")),
+            materialize(spark.createDataFrame(edges, "parent_id long, child_id long, lineage string, parent_stage double, child_stage double")))
+
+
+@pytest.mark.parametrize("layout", [tree.stage_layout, tree.tidy_layout])
+def test_layouts_of_large_trees_make_no_hops(spark, monkeypatch, layout):
+    nodes, edges = own_tree(spark)
+    a = layout(nodes, edges)
+    monkeypatch.setattr(propagate, "_spread_hops", None)
+    b = layout(nodes, edges, small_edges=0, band_edges=30)
+    a, b = (x.toPandas().sort_values("node_id") for x in (a, b))
+    assert a.tree_x.notna().all() and np.allclose(a.tree_x, b.tree_x)
+
+
+def test_joins_by_node_are_not_broadcast(spark):
+    nodes, edges = own_tree(spark)
+    ids = nodes.select("node_id")
+    for df in (tree.degrees(ids, edges), tree.real_edges(nodes, edges), diagnostics.edge_gaps(nodes, edges),
+               diagnostics.terminals(nodes.withColumn("n_cells", F.lit(1)), edges), contract.anchors(ids, edges), contract.chains(ids, edges),
+               markov.sinks(nodes, edges.withColumnRenamed("parent_id", "source_id"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_follow_parents(spark, small):
     rng = np.random.default_rng(3)
