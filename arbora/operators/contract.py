@@ -15,6 +15,8 @@ from arbora.operators.propagate import follow_parents
 from arbora.operators.tree import REAL, degrees, topology_counts
 
 CHAIN_ROWS = 50_000
+# Nodes of short chains that go to one task, on average.
+TASK_ROWS = 5_000
 
 
 def require_single_parents(edges: DataFrame) -> None:
@@ -52,43 +54,48 @@ def partition_chains(placed: DataFrame, nodes: DataFrame, max_distance: float, m
     """Greedy runs along each chain; result: node_id, head_id (first node of its run).
 
     A node joins the open run while its cosine distance to the run's cell-weighted sum and the run's
-    stage span stay within the limits. Chains are independent tasks. One task sees at most
-    `chain_rows` nodes of a chain; a longer chain continues in the next round from the start of its
-    last, still open run.
+    stage span stay within the limits. Chains are independent and dealt to as many tasks as their nodes
+    need. One round sees at most `chain_rows` nodes of a chain; a longer chain continues in the next round
+    from the start of its last, still open run.
     """
     rows = materialize(placed.select("node_id", "chain_id", "place").join(
         shuffled(nodes.select("node_id", "stage", "n_cells", "embedding")), "node_id"))
     lengths = rows.groupBy("chain_id").agg(F.count("*").alias("length"))
     starts = lengths.withColumn("start", F.lit(0).cast("long"))
+    tasks = 1 + rows.count() // TASK_ROWS
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
+        pdf = pdf.sort_values(["chain_id", "place"])
         vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
         units = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         weighted = vectors * pdf["n_cells"].to_numpy(dtype=np.float64)[:, None]
         stage = pdf["stage"].to_numpy(dtype=np.float64)
+        chain, place = pdf["chain_id"].to_numpy(), pdf["place"].to_numpy()
+        begins = np.r_[True, chain[1:] != chain[:-1]]
         head = np.zeros(len(pdf), dtype=np.int64)
-        total, low, high = weighted[0].copy(), stage[0], stage[0]
-        for i in range(1, len(pdf)):
-            gap = max(0.0, 1.0 - float(total @ units[i]) / max(float(np.linalg.norm(total)), 1e-12))
-            new_low, new_high = min(low, stage[i]), max(high, stage[i])
-            if gap <= max_distance and new_high - new_low <= max_span:
-                head[i] = head[i - 1]
-                total, low, high = total + weighted[i], new_low, new_high
-            else:
-                head[i] = i
-                total, low, high = weighted[i].copy(), stage[i], stage[i]
-        last = bool(pdf["place"].iat[-1] == pdf["length"].iat[0] - 1)
+        for i in range(len(pdf)):
+            if not begins[i]:
+                gap = max(0.0, 1.0 - float(total @ units[i]) / max(float(np.linalg.norm(total)), 1e-12))
+                new_low, new_high = min(low, stage[i]), max(high, stage[i])
+                if gap <= max_distance and new_high - new_low <= max_span:
+                    head[i] = head[i - 1]
+                    total, low, high = total + weighted[i], new_low, new_high
+                    continue
+            head[i] = i
+            total, low, high = weighted[i].copy(), stage[i], stage[i]
+        ends = np.flatnonzero(np.r_[begins[1:], True])
+        end = np.repeat(ends, np.diff(np.r_[-1, ends]))
+        whole = place[end] == pdf["length"].to_numpy()[end] - 1
         ids = pdf["node_id"].to_numpy()
-        return pd.DataFrame({"node_id": ids, "head_id": ids[head], "chain_id": pdf["chain_id"].iat[0],
-                             "place": pdf["place"].to_numpy(),
-                             "closed": True if last else head != head[-1]})
+        return pd.DataFrame({"node_id": ids, "head_id": ids[head], "chain_id": chain, "place": place,
+                             "closed": whole | (head != head[end])})
 
     parts = []
     while True:
         window = rows.join(shuffled(starts), "chain_id").where(
             (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + chain_rows))
-        found = materialize(window.groupBy("chain_id").applyInPandas(
+        dealt = window.withColumn("_task", F.pmod(F.xxhash64("chain_id"), F.lit(tasks))).repartition(tasks, "_task")
+        found = materialize(dealt.groupBy("_task").applyInPandas(
             runs, "node_id long, head_id long, chain_id long, place long, closed boolean"))
         parts.append(found.where("closed").select("node_id", "head_id"))
         unfinished = found.where("not closed")

@@ -67,6 +67,16 @@ def test_path_groups(spark, chain_rows):
     assert partition(got) == sorted(sorted(g) for g in plain_groups(rows, parent, .3, 4.0))
 
 
+@pytest.mark.parametrize("chain_rows", [2, 50_000])
+def test_short_chains_share_tasks(spark, monkeypatch, chain_rows):
+    monkeypatch.setattr(contract, "TASK_ROWS", 25)
+    rows, parent = random_tree(8, 90)
+    nodes, edges = frames(spark, rows, parent)
+    assert contract.chains(nodes, edges).select("chain_id").distinct().count() > 5
+    got = contract.path_groups(nodes, edges, .3, 4.0, chain_rows)
+    assert partition(got) == sorted(sorted(g) for g in plain_groups(rows, parent, .3, 4.0))
+
+
 def plain_siblings(rows, parent, groups, far, gap):
     """One merge at a time over the whole tree: deepest parent, then distance, gap and lowest ids."""
     info = {r[0]: r for r in rows}
