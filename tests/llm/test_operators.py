@@ -290,6 +290,85 @@ def test_maxent_base_score_and_distribution(spark, some):
     assert sum(got[d].score for d in learned) > sum(got[d].base_score for d in learned)
 
 
+def _markov_texts(n, seed):
+    """Texts over 300 words of which each is mostly followed by one of four."""
+    import random
+    draw = random.Random(seed)
+    words = [f"w{i}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    after = {w: draw.sample(words, 4) for w in words}
+    texts = []
+    for _ in range(n):
+        w, text = draw.choice(words), []
+        for _ in range(20):
+            text.append(w)
+            w = draw.choice(after[w]) if draw.random() < 0.9 else draw.choice(words)
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_maxent_gains_on_held_out_texts_and_more_from_more(spark):
+    gains = []
+    for n in (60, 600):
+        rows = [(i, t, i % 7 != 2) for i, t in enumerate(_markov_texts(n, 1))]
+        held = maxent.score(spark.createDataFrame(rows, "id long, text string, learn boolean"), "learn").where("not learn")
+        s, b = held.agg(F.sum("score"), F.sum("base_score")).first()
+        gains.append(1 - s / b)
+    assert 0.05 < gains[0] < gains[1] - 0.1
+
+
+def test_maxent_pairs_against_plain_counts(spark, monkeypatch):
+    from collections import Counter
+    from math import log10
+
+    # Without fitted weights classes start out equally likely, so every factor can be restated.
+    monkeypatch.setattr(maxent, "train", lambda counts: np.concatenate([w.ravel() for w in maxent._weights().values()]))
+    texts = _markov_texts(80, 2) + ["", None, "w1ba w1ba w1ba", "never seen words w1ba", "w1ba unseen"]
+    texts += texts[:5]
+    rows = [(i, t, i % 7 != 2 and i != 83) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "_per long, text string, learn boolean").repartition(4)
+    got = {r._per: r.score for r in maxent.score(frame, "learn").collect()}
+
+    def kind(word):
+        if word is None:
+            return 0
+        raw = word.encode()
+        tail = raw[-1] * 257 + (raw[-2] if len(raw) > 1 else 0)
+        return 1 + int(maxent.spans.mix(np.array([tail], np.uint64))[0] % np.uint64(maxent.CLASSES - 1))
+
+    cut = {i: [None, *(t or "").split(), None] for i, t, _ in rows}
+    learned = [cut[i] for i, _, learn in rows if learn]
+    one = Counter(w for words in learned for w in words[1:])
+    two = Counter(p for words in learned for p in zip(words, words[1:]))
+    classes, kinds, follow = Counter(), Counter(), Counter()
+    for w, n in one.items():
+        classes[kind(w)] += n
+        kinds[kind(w)] += 1
+    group = Counter()
+    for (a, w), n in two.items():
+        group[a, kind(w)] += n
+        follow[a, kind(w)] += 1
+    once, twice = (sum(n == k for n in two.values()) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.9)
+
+    def chance(a, w):
+        c = kind(w)
+        n = group[a, c]
+        unigram = (one[w] + 1) / (classes[c] + kinds[c] + 1)
+        inside = max(two[a, w] - d, 0) / n + d * follow[a, c] / n * unigram if n else unigram
+        return (n + 1) / (one[a] + maxent.CLASSES) * inside
+
+    for i, words in cut.items():
+        assert abs(got[i] - sum(log10(chance(a, w)) for a, w in zip(words, words[1:]))) < 1e-9 * len(words), i
+    # Over all words and one unknown word of every class the chances sum to one.
+    classes_seen = {kind(w) for w in one}
+    for a in (None, "w1ba", "never"):
+        total = sum(chance(a, w) for w in one)
+        for c in range(maxent.CLASSES):
+            n, unknown = group[a, c], 1 / (classes[c] + kinds[c] + 1)
+            total += (n + 1) / (one[a] + maxent.CLASSES) * (unknown * (d * follow[a, c] / n if n else 1))
+        assert abs(total - 1) < 1e-9 and len(classes_seen) > 5
+
+
 def test_templates_find_changed_values(spark):
     item = "Tom drives 120 km in 2 hours and then Tom stops for 30 minutes before the next 120 km begin, how long is the trip"
     asked = item.replace("Tom", "Ann").replace("120", "75").replace("30", "45")
