@@ -271,6 +271,40 @@ def test_language_of_nothing(odd):
     assert got[1] == got[2] == got[3] == got[10] == ("und", 0.0)
 
 
+def test_lines_below_the_threshold_are_not_all_compared(spark, monkeypatch):
+    import random
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base = [word() for _ in range(60)]
+    # All alike at about 0.7, and some near copies of a few of them.
+    lines = [" ".join(word() if draw.random() < 0.07 else w for w in base) for _ in range(150)]
+    lines += [f"{line} tail" for line in lines[:10]]
+    sets = [{line[i:i + 5] for i in range(len(line) - 4)} for line in lines]
+    roots = list(range(len(lines)))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((roots[a], roots[b]))
+            roots = [low if r == high else r for r in roots]
+    expected = {frozenset(i for i, r in enumerate(roots) if r == k) for k in set(roots)}
+    compared = []
+
+    def counting(buckets, sets_of, threshold, similar, **more):
+        def count(pairs, items):
+            compared.append(pairs.count())
+            return similar(pairs, items)
+        return linkage.classes(buckets, sets_of, threshold, similar=count, **more)
+
+    monkeypatch.setattr(fuzzy_lines, "classes", counting)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = docs.select("doc_id", F.xxhash64("text").alias("line_hash")).join(fuzzy_lines.line_classes(docs), "line_hash", "left").collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.line_hash if r.root is None else r.root, set()).add(r.doc_id)
+    assert {frozenset(g) for g in groups.values()} == expected and len(expected) < len(lines)
+    # Of the pairs that share a bucket most are excluded by their bitmaps.
+    assert len(compared) > 1 and sum(compared[1:]) < 1000
+
+
 def test_maxent_base_score_and_distribution(spark, some):
     docs = some.select("doc_id", "text", (~maxent.held_out("doc_id", 7, 2)).alias("learn"))
     got = {r.doc_id: r for r in maxent.score(docs, "learn").collect()}
