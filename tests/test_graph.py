@@ -228,6 +228,28 @@ def test_communities_both_ways_agree(spark):
     assert (check.n_members, check.n_unsettled, check.n_disconnected) == (24, 0, 0)
 
 
+def test_communities_of_lineages_that_fit_a_task(spark, monkeypatch):
+    """The limit holds for each lineage, and a large lineage goes on in a task once its folded graph fits."""
+    rng, rows = np.random.default_rng(7), []
+    for name, low, n in (("x", 0, 40), ("y", 100, 40), ("z", 200, 60)):
+        rows += [(name, low + a, low + b, 1.0 if a % 5 == b % 5 else .2) for a in range(n) for b in range(a + 1, n)
+                 if rng.random() < (.8 if a % 5 == b % 5 else .05)]
+    edges = spark.createDataFrame(rows, "lineage string, left_id long, right_id long, weight double")
+    members = spark.createDataFrame([(low + i, name) for name, low, n in (("x", 0, 40), ("y", 100, 40), ("z", 200, 60)) for i in range(n)],
+                                    "id long, lineage string")
+    sizes = {r.lineage: r["count"] for r in edges.groupBy("lineage").count().collect()}
+    limit = max(sizes["x"], sizes["y"])
+    assert limit < sizes["z"]
+    whole = states.communities(members, edges, 1.0, 1)
+    used, kept = [], states._one_pass_folded
+    monkeypatch.setattr(states, "_one_pass_folded", lambda *held: used.append(1) or kept(*held))
+    mixed = states.communities(members, edges, 1.0, 1, small_edges=limit)
+    assert used and whole.exceptAll(mixed).isEmpty() and mixed.count() == 140
+    monkeypatch.setattr(states, "_communities_joined", None)
+    some = states.communities(members.where("lineage < 'z'"), edges.where("lineage < 'z'"), 1.0, 1, small_edges=limit)
+    assert some.exceptAll(whole).isEmpty() and some.count() == 80
+
+
 def test_parts_end_where_ids_are_open_in_the_same_turns(spark):
     """Nodes whose numbers differ by multiples of 1009 share every turn; both ways of refining end and agree."""
     def stop(*_):
