@@ -225,6 +225,49 @@ def test_diffusion_map_of_three_parts(spark):
     assert few[0] == pytest.approx(1.0) and len(few) == 3
 
 
+def test_blocks_write_and_send_within_bounds(spark, monkeypatch):
+    """Long chains are cut into jobs with the same result; nothing but the tables in use and no shuffle files stay."""
+    from pathlib import Path
+
+    from arbora.core import materialize, shared_folder
+    from arbora.operators import blocks
+
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "embedding": rng.standard_normal((90, 5)).tolist()}))
+    matrix = materialize(diffusion.transition_matrix(diffusion.gaussian_graph(points, 8)))
+    folder = Path(shared_folder(spark)) / f"arbora-{spark.sparkContext.applicationId}"
+    found, left, cut = [], [], []
+    written = blocks.Blocks.written
+    monkeypatch.setattr(blocks.Blocks, "written", lambda self, *held: cut.append(1) or written(self, *held))
+    for most in (1 << 30, 1):
+        monkeypatch.setattr(blocks, "JOB_BYTES", most)
+        before = {p.name for p in folder.iterdir()}
+        rows = diffusion.eigenvectors(points.select("id"), matrix, 90, 3, block_places=20)[0]
+        found.append(rows.toPandas().sort_values(["component", "id"]))
+        left.append({p.name for p in folder.iterdir()} - before)
+        cut.append(0)
+    assert np.allclose(found[0].value, found[1].value, atol=1e-6)
+    assert len(left[0]) == len(left[1]) <= 4  # the ids, their places and the coordinates
+    split = cut.index(0)
+    assert sum(cut[split:]) > 5 * split  # every round a job of its own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_layout_searches_neighbours_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(40), "embedding": rng.standard_normal((40, 4)).tolist()}))
+    from arbora.operators import neighbors, states
+
+    alone = states.fuzzy_graph(points.select("id", F.lit("all").alias("lineage"), "embedding"), 6)
+    near = neighbors.nearest(points.select("id", F.lit("all").alias("lineage"), "embedding"), 6)
+    shared = states.fuzzy_graph(points.select("id", F.lit("all").alias("lineage"), "embedding"), 6, near=near)
+    assert alone.exceptAll(shared).isEmpty() and shared.exceptAll(alone).isEmpty()
+    assert diffusion.gaussian_graph(points, 6).exceptAll(diffusion.gaussian_graph(points, 6, near=near)).isEmpty()
+    for module in (states, diffusion):
+        monkeypatch.setattr(module, "nearest", None)
+    assert layout.display_layout(points, 2, 6, epochs=3).count() == 80
+
+
 def test_eigenvectors_do_not_depend_on_blocks(spark):
     """Blocks send each other only what their links read."""
     rng = np.random.default_rng(12)
