@@ -149,11 +149,14 @@ def fates(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     back = edges.select(F.col("lineage").alias("piece"), F.col("target_id").alias("source"), F.col("source_id").alias("target"),
                         F.col("transition_probability").alias("share"),
                         *_stages(edges, -1, at="target_stage", to="source_stage"))
-    raw = spread(seeds, back, tags=["terminal"], **how)
-    totals = raw.groupBy("node").agg(F.sum("mass").alias("_total"))
-    return raw.join(totals, "node").select(
-        F.col("node").alias("node_id"), F.col("terminal").alias("terminal_node_id"),
-        (F.col("mass") / F.col("_total")).alias("fate_probability"))
+
+    def shares(raw: DataFrame) -> DataFrame:
+        totals = raw.groupBy("node").agg(F.sum("mass").alias("_total"))
+        return raw.join(totals, "node").select(
+            F.col("node").alias("node_id"), F.col("terminal").alias("terminal_node_id"),
+            (F.col("mass") / F.col("_total")).alias("fate_probability"))
+
+    return spread(seeds, back, tags=["terminal"], finish=shares, **how)
 
 
 def node_fates(fate: DataFrame) -> DataFrame:
@@ -168,14 +171,20 @@ def node_fates(fate: DataFrame) -> DataFrame:
 
 
 def retained_fates(fate: DataFrame, nodes: DataFrame, threshold: float = 1e-4) -> DataFrame:
-    """Fates of at least `threshold`, or the best one where none is, with the mass kept."""
-    best = node_fates(fate).select("node_id", "most_likely_terminal_id",
-                                   "most_likely_terminal_probability")
-    kept = (fate.join(best, "node_id")
-            .where((F.col("fate_probability") >= threshold) |
-                   ((F.col("most_likely_terminal_probability") < threshold) &
-                    (F.col("terminal_node_id") == F.col("most_likely_terminal_id"))))
-            .select("node_id", "terminal_node_id", "fate_probability"))
+    """Fates of at least `threshold`, or the best one where none is, with the mass kept.
+
+    Fates are scanned; only the best of each node and task is shuffled, unless an id stands for nodes of two lineages.
+    """
+    low = node_fates(fate).where(F.col("most_likely_terminal_probability") < threshold)
+    columns = ["node_id", "terminal_node_id", "fate_probability"]
+    twice = nodes.groupBy("node_id").agg(F.min("lineage").alias("a"), F.max("lineage").alias("b")).where("a < b")
+    if twice.isEmpty():
+        rest = low.select("node_id", F.col("most_likely_terminal_id").alias("terminal_node_id"),
+                          F.col("most_likely_terminal_probability").alias("fate_probability"))
+    else:
+        best = low.select(F.col("node_id").alias("_node"), F.col("most_likely_terminal_id").alias("_best"))
+        rest = fate.join(best, (F.col("node_id") == F.col("_node")) & (F.col("terminal_node_id") == F.col("_best")))
+    kept = materialize(fate.where(F.col("fate_probability") >= threshold).select(*columns).unionByName(rest.select(*columns)))
     mass = kept.groupBy("node_id").agg(F.sum("fate_probability").alias("retained_probability_mass"))
     return kept.join(mass, "node_id").join(nodes.select("node_id", "lineage"), "node_id")
 

@@ -7,7 +7,7 @@ checked size is small go through one grouped task per piece instead.
 Where the nodes have numbers that grow along every edge, a large graph is cut into bands of them instead, with
 about as many edges each. Bands follow one another: what arrives in a band is spread inside it by grouped tasks
 (one per piece and bucket of tags) and then sent on along the edges that leave it. So the rounds are as many as the
-bands, not the edges of the longest path, and every row is written when it is final.
+bands, not the edges of the longest path, and every row is written when it is final. What was sent to a band goes with it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.core import at_most, empty_frame, materialize, shuffle_partitions, shuffled
+from arbora.core import at_most, discard, empty_frame, materialize, shuffle_partitions, shuffled
 
 HOPS_PER_JOB = 5
 SMALL_EDGES = 100_000
@@ -30,14 +30,16 @@ BUCKET_TAGS = 100  # seeds per task of a band, if they have tags
 
 
 def spread(seeds: DataFrame, edges: DataFrame, tags=(), sums=("mass",), mins=(),
-           small_edges: int = SMALL_EDGES, band_edges: int = BAND_EDGES) -> DataFrame:
+           small_edges: int = SMALL_EDGES, band_edges: int = BAND_EDGES, finish=None) -> DataFrame:
     """Accumulate at every node what reaches it from the seeds over all directed paths.
 
     `seeds`: piece, node, tags, values. `edges`: piece, source, target, share. Edges stay inside a
     piece. A value in `sums` is multiplied by `share` and added up; one in `mins` keeps its minimum.
     The graph must have no cycle. Result: piece, node, tags, values. Large graphs go by bands if `seeds` have the
     number of their node as `at` and `edges` those of source and target as `at` and `to`, unless some edge has at > to.
+    `finish` changes the result and needs no more at once than all rows of a node; bands are written only as it leaves them.
     """
+    done = (lambda df: df) if finish is None else finish
     ordered = "at" in seeds.columns
     seeds = seeds.select("piece", "node", *tags, *sums, *mins, *["at"] * ordered)
     edges = edges.select("piece", "source", "target", F.col("share").cast("double"), *["at", "to"] * ordered)
@@ -45,10 +47,10 @@ def spread(seeds: DataFrame, edges: DataFrame, tags=(), sums=("mass",), mins=(),
     if at_most(edges, small_edges):
         n_edges, n_seeds = edges.count(), seeds.count() if tags else 1
         if n_edges * n_seeds <= SMALL_PRODUCT:
-            return materialize(_spread_pieces(seeds.drop("at"), edges.drop("at", "to"), *lists))
+            return done(materialize(_spread_pieces(seeds.drop("at"), edges.drop("at", "to"), *lists)))
     if ordered and _never_back(edges) and _one_number_each(seeds, edges):
-        return _spread_bands(seeds, edges, *lists, band_edges)
-    return _spread_hops(seeds.drop("at"), edges.drop("at", "to"), *lists)
+        return _spread_bands(seeds, edges, *lists, band_edges, finish)
+    return done(_spread_hops(seeds.drop("at"), edges.drop("at", "to"), *lists))
 
 
 def _never_back(edges) -> bool:
@@ -63,8 +65,11 @@ def _one_number_each(seeds, edges) -> bool:
     return numbers.groupBy("node").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").isEmpty()
 
 
-def _spread_bands(seeds, edges, tags, sums, mins, band_edges) -> DataFrame:
-    """Bands in the order of the numbers; what a band sends on is added up per node before it is written."""
+def _spread_bands(seeds, edges, tags, sums, mins, band_edges, finish=None) -> DataFrame:
+    """Bands in the order of the numbers; what a band sends on is added up per node before it is written.
+
+    A node has one number, so a band holds all rows of its nodes.
+    """
     n_bands = -(-edges.count() // band_edges)
     cuts = edges.approxQuantile("at", [i / n_bands for i in range(1, n_bands)], 0.001) if n_bands > 1 else []
     cuts = sorted(set(cuts))
@@ -79,15 +84,22 @@ def _spread_bands(seeds, edges, tags, sums, mins, band_edges) -> DataFrame:
         arrived = functools.reduce(DataFrame.unionByName, [m.where(F.col("_to") == b) for m in sent]).drop("_to")
         inside = edges.where((F.col("_from") == b) & (F.col("_to") == b)).select("piece", "source", "target", "share")
         settled = materialize(_spread_pieces(arrived, inside, tags, sums, mins, buckets))
-        done.append(settled)
-        if b == len(cuts):
-            break
-        leaving = edges.where((F.col("_from") == b) & (F.col("_to") > b)).select("source", "target", "share", "_to")
-        moved = settled.join(shuffled(leaving), F.col("node") == F.col("source")).select(
-            "piece", F.col("target").alias("node"), *tags, *[(F.col(v) * F.col("share")).alias(v) for v in sums], *mins, "_to")
-        sent.append(materialize(moved.groupBy("piece", "node", *tags, "_to").agg(
-            *[F.sum(v).alias(v) for v in sums], *[F.min(v).alias(v) for v in mins]).select(*names, "_to")))
-    return functools.reduce(DataFrame.unionByName, done)
+        for m in sent[1:]:
+            discard(m, f"_to={b}")
+        if b < len(cuts):
+            leaving = edges.where((F.col("_from") == b) & (F.col("_to") > b)).select("source", "target", "share", "_to")
+            moved = settled.join(shuffled(leaving), F.col("node") == F.col("source")).select(
+                "piece", F.col("target").alias("node"), *tags, *[(F.col(v) * F.col("share")).alias(v) for v in sums], *mins, "_to")
+            sent.append(materialize(moved.groupBy("piece", "node", *tags, "_to").agg(
+                *[F.sum(v).alias(v) for v in sums], *[F.min(v).alias(v) for v in mins]).select(*names, "_to"), by="_to"))
+        if finish is None:
+            done.append(settled)
+        else:
+            done.append(materialize(finish(settled)))
+            discard(settled)
+    result = functools.reduce(DataFrame.unionByName, done)
+    result._written_rows = sum(part._written_rows for part in done)  # all of it is written
+    return result
 
 
 def _spread_pieces(seeds, edges, tags, sums, mins, buckets: int = 1) -> DataFrame:

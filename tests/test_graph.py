@@ -344,6 +344,46 @@ def test_fork_fate_and_entropy(spark):
     assert [(r.terminal_node_id, r.fate_probability) for r in kept] == [(2, .75)]
 
 
+def test_fates_by_bands_keep_only_what_is_read(spark):
+    """Both ways agree; tables of bands and what was sent to them go, and the result is not written again."""
+    from pathlib import Path
+
+    from arbora.core import shared_folder
+
+    rng = np.random.default_rng(8)
+    rows = [(a, b, "x", float(a), float(b), float(rng.random())) for a in range(40) for b in range(a + 1, 40)
+            if rng.random() < .2 and a % 7]
+    edges = spark.createDataFrame(rows, "source_id long, target_id long, lineage string, source_stage double, target_stage double, w double")
+    whole = edges.groupBy("source_id").agg(F.sum("w").alias("s"))
+    edges = materialize(edges.join(whole, "source_id").withColumn("transition_probability", F.col("w") / F.col("s")))
+    nodes = materialize(node_frame(spark, [(i, "x", float(i), 1, [1.0]) for i in range(40)]))
+    small = markov.fates(nodes, edges).toPandas().sort_values(["node_id", "terminal_node_id"], ignore_index=True)
+    folder = Path(shared_folder(spark)) / f"arbora-{spark.sparkContext.applicationId}"
+    before = {p.name for p in folder.iterdir()}
+    fate = markov.fates(nodes, edges, small_edges=0, band_edges=25)
+    assert materialize(fate) is fate  # it is written as it is
+    large = fate.toPandas().sort_values(["node_id", "terminal_node_id"], ignore_index=True)
+    assert (small.node_id == large.node_id).all() and (small.terminal_node_id == large.terminal_node_id).all()
+    assert np.allclose(small.fate_probability, large.fate_probability, atol=1e-12) and len(small) > 100
+    new = [p for p in folder.iterdir() if p.name not in before]
+    assert not [q for p in new for q in p.glob("_to=*")]
+    held = sum(spark.read.parquet(str(p)).count() for p in new if any(p.glob("*.parquet")) and "fate_probability" in spark.read.parquet(str(p)).columns)
+    assert held == len(large)
+    assert not [p for p in new if any(p.glob("*.parquet")) and {"terminal", "mass"} <= {*spark.read.parquet(str(p)).columns} - {"_to"} and "_to" not in spark.read.parquet(str(p)).columns]
+
+
+@pytest.mark.parametrize("lineage", ["a", "b"])
+def test_retained_fates_against_their_definition(spark, lineage):
+    """Also where an id stands for nodes of two lineages."""
+    rows = [(0, 5, .3), (0, 6, .3), (0, 7, .4), (1, 5, .9), (1, 6, .1), (2, 9, .55), (2, 8, .45)] + [(0, 7, .35)] * (lineage == "b")
+    fate = spark.createDataFrame(rows, "node_id long, terminal_node_id long, fate_probability double")
+    nodes = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (0, lineage)][:3 + (lineage == "b")], "node_id long, lineage string")
+    got = sorted((r.node_id, r.terminal_node_id, r.fate_probability, round(r.retained_probability_mass, 9), r.lineage)
+                 for r in markov.retained_fates(fate, nodes, .5).collect())
+    mine = [(0, 7, .4, .4, "a")] if lineage == "a" else [(0, 7, p, .75, x) for p in (.35, .4) for x in "ab"]
+    assert got == sorted([*mine, (1, 5, .9, .9, "a"), (2, 9, .55, .55, "a")])
+
+
 def test_parent_tie_goes_to_closer_then_lower(spark):
     edges = spark.createDataFrame([(3, 9, .5, 1.0, .2), (2, 9, .5, 1.0, .1), (1, 9, .5, 1.0, .1)],
                                   "source_id long, target_id long, transition_probability double, raw_weight double, cosine_distance double")
