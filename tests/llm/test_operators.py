@@ -305,6 +305,56 @@ def test_lines_below_the_threshold_are_not_all_compared(spark, monkeypatch):
     assert len(compared) > 1 and sum(compared[1:]) < 1000
 
 
+def test_maxent_sparse_features_of_all_histories(spark, monkeypatch):
+    """Scores against a plain restatement: skip, bigram and trigram features in both factors, from the whole corpus."""
+    import random
+    draw = random.Random(3)
+    monkeypatch.setattr(maxent, "train", lambda counts: np.zeros(sum(w.size for w in maxent._weights().values())))
+    texts = [" ".join(draw.choice(["ab", "cd", "efg", "hi", "Jk", "l", "mno"]) for _ in range(draw.randrange(9))) for _ in range(60)]
+    texts += [None, "", "ab unseen cd", "never seen words", "ab", "漢字 ab 漢字"]
+    docs = spark.createDataFrame([(i, t, i % 4 != 1 and i != 63) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r.score for r in maxent.score(docs, "learn", histories=maxent.SPARSE).collect()}
+
+    def kind(w):
+        if w is None:
+            return 0
+        b = w.encode()
+        return 1 + int(maxent.spans.mix(np.array([b[-1] * 257 + (b[-2] if len(b) > 1 else 0)], np.uint64))[0]) % (maxent.CLASSES - 1)
+
+    def tokens(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+
+    def rows(t):
+        w = tokens(t)
+        return [(x, w[i - 1] if i else None, w[i - 2] if i > 1 else None) for i, x in enumerate(w)]
+
+    views = {"skip": lambda one, two: two, "pair": lambda one, two: one, "both": lambda one, two: (two, one)}
+    words, events = {}, {k: {} for k in views}
+    for i, t in enumerate(texts):
+        if i % 4 != 1 and i != 63:
+            for w, one, two in rows(t):
+                words[w] = words.get(w, 0) + 1
+                for k, view in views.items():
+                    events[k][view(one, two), w] = events[k].get((view(one, two), w), 0) + 1
+    for i, t in enumerate(texts):
+        total = 0.0
+        for w, one, two in rows(t):
+            c = kind(w)
+            chosen = 1 / maxent.CLASSES
+            same = [x for x in words if kind(x) == c]
+            inside = (words.get(w, 0) + 1) / (sum(words[x] for x in same) + len(same) + 1)
+            for k, view in views.items():
+                seen = list(events[k].values())
+                discount = min(max(seen.count(1) / max(seen.count(1) + 2 * seen.count(2), 1), 0.1), 0.9)
+                after = {x: n for (h, x), n in events[k].items() if h == view(one, two)}
+                near = {x: n for x, n in after.items() if kind(x) == c}
+                chosen = (sum(near.values()) + maxent.PRIOR * chosen) / (sum(after.values()) + maxent.PRIOR)
+                if near:
+                    inside = (max(near.get(w, 0) - discount, 0) + discount * len(near) * inside) / sum(near.values())
+            total += np.log10(chosen) + np.log10(inside)
+        assert abs(got[i] - total) < 1e-9 * max(1, abs(total)), (i, t)
+
+
 def test_maxent_base_score_and_distribution(spark, some):
     docs = some.select("doc_id", "text", (~maxent.held_out("doc_id", 7, 2)).alias("learn"))
     got = {r.doc_id: r for r in maxent.score(docs, "learn").collect()}
